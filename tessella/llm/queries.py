@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, sharding, simhash, urls
+from . import exact_dedup, langid, mixing, packing, quality, sharding, simhash, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -42,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_mixing, op5_sharding, op7_simhash, op8_url_filter, op9_exact_dedup, op10_packing)}
+    return {f.__name__: f for f in (op3_mixing, op4_language_id, op5_sharding, op6_quality, op7_simhash, op8_url_filter, op9_exact_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
