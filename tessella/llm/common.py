@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, buckets: int, key: str) -> DataFrame:
+    """Writes ``df`` to the checkpoint folder as a table bucketed by ``key``, so that later groupings by it don't shuffle it again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = f"tessella_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).format("parquet").option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def crc32_text(col: Column) -> Column:
     """CRC-32 of a value's decimal text; null counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")))

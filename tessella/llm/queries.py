@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, quality, sharding, simhash, toxicity, urls
+from . import exact_dedup, langid, mixing, packing, quality, sharding, simhash, suffix_dedup, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
@@ -54,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op3_mixing, op4_language_id, op5_sharding, op6_quality, op7_simhash, op8_url_filter, op9_exact_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_mixing, op4_language_id, op5_sharding, op6_quality, op7_simhash, op8_url_filter, op9_exact_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
