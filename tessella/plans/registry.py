@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import text_plans
+from . import chart_plans, count_plans, score_plans, text_plans
 
-FLAGSHIP = "t6_lexical_pairs"
-MODULES = (text_plans,)
+FLAGSHIP = "f1_f2_relative_frequencies"
+MODULES = (text_plans, count_plans, score_plans, chart_plans)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
