@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import sum_vectors, zeros
@@ -97,10 +97,9 @@ def fit_cca(x: DataFrame, y: DataFrame, p: int, q: int, k: int, gamma_x: float,
         if centre:
             xx, yy = centre_correction(xx, x, x, n), centre_correction(yy, y, y, n)
         return cca(dense(xx, p, p), dense(yy, q, q), dense(xy, p, q), k, gamma_x, gamma_y)
-    if whitening == "ppmi":
-        return truncated_svd(dense(shifted_ppmi(xy, x, y, n, gamma_x), p, q), k)
-    if whitening == "identity":
-        return truncated_svd(dense(xy, p, q), k)
+    if whitening in ("ppmi", "identity"):
+        u, s, v = truncated_svd(dense(shifted_ppmi(xy, x, y, n, gamma_x) if whitening == "ppmi" else xy, p, q), k)
+        return u, v, s
     if whitening != "diag":
         raise ValueError(f"no whitening {whitening!r}")
     u, s, v = truncated_svd(dense(whitened(xy, x, y, gamma_x, gamma_y), p, q), k)
@@ -200,7 +199,3 @@ def backed_off(features: DataFrame, vocab: DataFrame) -> DataFrame:
     met = features.join(own, "feature", "left").withColumn("spare", F.concat(F.lit("<unk>"), F.regexp_extract("feature", r"(_dist\d+)$", 1)))
     met = met.join(F.broadcast(spare), "spare", "left").join(F.broadcast(plain), F.lit(True), "left")
     return met.withColumn("id", F.coalesce("own", "plain", "far")).where("id is not null").drop("own", "plain", "far", "spare")
-
-
-def squared_norm(v: Column) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chart_plans, count_plans, score_plans, text_plans
+from . import chart_plans, count_plans, numeric_plans, score_plans, text_plans
 
 FLAGSHIP = "f1_f2_relative_frequencies"
-MODULES = (text_plans, count_plans, score_plans, chart_plans)
+MODULES = (text_plans, count_plans, score_plans, chart_plans, numeric_plans)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
