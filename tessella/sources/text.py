@@ -81,7 +81,7 @@ def lm_groups(spark: SparkSession, phrases: str, scores: str) -> DataFrame:
         numbered_lines(spark, phrases).select("n", F.col("value").alias("phrase")), "n"
     )
     side = fields(F.col("phrase"))
-    return lm_scores(both.select("n", "value", side[1].alias("tgt"), F.size(tokens(side[2])).alias("n_words")))
+    return lm_scores(both.select("n", "value", F.try_element_at(side, F.lit(2)).alias("tgt"), F.size(tokens(F.try_element_at(side, F.lit(3)))).alias("n_words")))
 
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
