@@ -1,15 +1,14 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Words, lower-cased and fenced, give hashed character n-grams; a text's features are its n-gram shares times their
-inverse document frequency. Weights come from follow-the-regularised-leader with an elastic net (per-coordinate rates,
-L1 truncation to exact zeros, L2 shrinkage), a temperature is then fitted on rows kept back. Since shares are linear
-in words, scoring looks up each distinct word's contribution once and sums over the text.
+Lower-cased text gives hashed character n-grams; a text's features are its n-gram shares times their inverse document
+frequency. Weights come from follow-the-regularised-leader with an elastic net (per-coordinate rates, L1 truncation to
+exact zeros, L2 shrinkage), a temperature is then fitted on rows kept back. Hashing and counting run in numpy over a
+whole text at a time.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,58 +21,65 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import crc32_text
 
-LETTER = re.compile(r"[^\W\d_]")
 SIZES, SLOTS, SCALE = (1, 2, 3), 1 << 15, 50.0
-#: Words kept in a worker's look-up table, and the longest that are.
-HELD, LONGEST = 400_000, 40
+#: Odd multipliers of the n-gram hash, one for each place in an n-gram.
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-def ngram_ids(word: str) -> np.ndarray:
-    """Slots of a word's character n-grams, with repeats; ``^`` and ``$`` fence it."""
-    fenced = f"^{word}$"
-    return np.array([zlib.crc32(fenced[i : i + n].encode("utf-8", "surrogatepass")) % SLOTS for n in SIZES for i in range(len(fenced) - n + 1)], np.int64)
+#: By code point: letters, and letters or marks. Those above the table count as letters in n-grams.
+LETTERS = np.array([chr(c).isalpha() for c in range(1 << 16)])
+SPELT = LETTERS | np.array([unicodedata.category(chr(c))[0] == "M" for c in range(1 << 16)])
+SPELT[-1] = True
+BLANK = np.uint64(32)
 
 
-class _Words(dict):
-    """word -> its n-gram slots, or what ``of`` makes of them."""
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
-    def __init__(self, of=None):
-        super().__init__()
-        self.of = of
 
-    def __missing__(self, word: str):
-        ids = ngram_ids(word)
-        out = self.of(ids) if self.of else ids
-        if len(word) <= LONGEST:
-            if len(self) >= HELD:
-                self.clear()
-            self[word] = out
-        return out
+def has_letter(text: str) -> bool:
+    points = code_points(text)
+    return bool(LETTERS[points[points < 1 << 16]].any()) or any(chr(c).isalpha() for c in np.unique(points[points >= 1 << 16]).tolist())
 
 
-def text_vector(text: str | None, words: _Words) -> tuple[np.ndarray, np.ndarray]:
+def text_counts(text: str | None) -> np.ndarray:
+    """How often each slot's character n-grams occur in a whole text, lower-cased; whatever isn't a letter is one blank."""
+    points = code_points(text.lower()) if text else np.zeros(0, np.uint32)
+    spelt = SPELT[np.minimum(points, (1 << 16) - 1)]
+    if not spelt.any():
+        return np.zeros(SLOTS, np.int64)
+    keep = spelt.copy()
+    keep[1:] |= spelt[:-1]
+    inner = np.where(spelt, points, 32)[keep].astype(np.uint64)
+    points = np.concatenate([[BLANK], inner, [BLANK]] if spelt[-1] else [[BLANK], inner])
+    terms = [points * m for m in MIX]
+    slots = []
+    for n in SIZES:
+        h = terms[0][: len(points) - n + 1].copy()
+        for k in range(1, n):
+            h += terms[k][k : len(points) - n + 1 + k]
+        h ^= h >> np.uint64(29)
+        h *= MIX[n - 1]
+        slots.append((h >> np.uint64(64 - 15)).astype(np.int64))
+    return np.bincount(np.concatenate(slots), minlength=SLOTS)
+
+
+def text_vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Slots of a text and their shares."""
-    got = [words[w] for w in text.lower().split()] if text else []
-    if not got:
-        return np.zeros(0, np.int64), np.zeros(0)
-    counts = np.bincount(np.concatenate(got), minlength=SLOTS)
+    counts = text_counts(text)
     at = np.flatnonzero(counts)
-    return at, counts[at] / counts.sum()
+    return at, counts[at] / max(counts.sum(), 1)
 
 
 def document_frequency(texts: DataFrame) -> np.ndarray:
     """In how many of all ``texts(text)`` each slot occurs, then their number: partitions add up dense counts of a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, words, mark = np.zeros(SLOTS + 1, np.int64), 0, _Words(), np.zeros(SLOTS, bool)
+        df = np.zeros(SLOTS + 1, np.int64)
         for b in batches:
             for t in b.column(0):
-                mark[:] = False
-                for w in set((t.as_py() or "").lower().split()):
-                    mark[words[w]] = True
-                df[:-1] += mark
-                n += 1
-        df[-1] = n
+                df[:-1] += text_counts(t.as_py()) > 0
+                df[-1] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["slot", "n"])
 
@@ -151,9 +157,8 @@ def train(docs: DataFrame, per_lang: int = 400, most_langs: int = 100, id_col: s
     rows = known.join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
         for b in batches:
-            got = [text_vector(t.as_py(), words) for t in b.column("text")]
+            got = [text_vector(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("lang"), pa.array([s.astype("<u2").tobytes() for s, _ in got], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary())],
                 ["doc_id", "lang", "slots", "shares"],
@@ -171,23 +176,14 @@ def train(docs: DataFrame, per_lang: int = 400, most_langs: int = 100, id_col: s
 def predictor(model: Model | None):
     """A vectorised function of the text: struct(lang_pred, score)."""
     schema = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    if model is not None:
-        table = model.idf[:, None] * model.weights * SCALE
-    state: dict[str, _Words] = {}
-
-    def contribution(ids: np.ndarray) -> tuple:
-        return (*table[ids].sum(axis=0).tolist(), len(ids))
-
     def predict(text: pd.Series) -> pd.DataFrame:
-        words = state.setdefault("words", _Words(contribution))
         langs, scores = [], []
         for t in text:
-            if t is None or model is None or not LETTER.search(t):
+            if t is None or model is None or not has_letter(t):
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            sums = np.array([words[w] for w in t.lower().split()]).sum(axis=0)
-            p = softmax((sums[:-1] / sums[-1] + model.bias) / model.temperature)
+            p = softmax(model.logits(*text_vector(t)) / model.temperature)
             best = int(p.argmax())
             langs.append(model.langs[best])
             scores.append(float(p[best]))
