@@ -3,8 +3,9 @@
 A document's ids are cut into full windows, which need no partner, and a remainder in pieces of at most ``grain`` ids.
 Pieces are gathered into blocks that fill a number of windows almost to the brim. Within a block every piece starts as
 a partial partition with one filled window; the two partial partitions with the largest imbalance merge, the fullest
-windows of one on the emptiest of the other, until one partition is left, whose windows are then nearly equal. If one
-exceeds the capacity, the block is packed again with one window more.
+windows of one on the emptiest of the other, until one partition is left, whose windows are then nearly equal. What
+still stands over the capacity is cut off and fills windows with room; if all of them together can't hold the block,
+it gets one window more. Where pieces mustn't be cut (``pack``), the window count rises as soon as one is too full.
 
 Everything happens inside the input's partitions: no shuffle, no collecting, one block in memory at a time.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,30 +29,42 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """Karmarkar-Karp: indices of ``sizes`` in ``k`` sets of nearly equal sums. Ties go to the lower index."""
     if k == 1:
         return [list(range(len(sizes)))]
+    # a partial partition: ascending sums, and for each window the node of a forest whose leaves are pieces
+    forest: list[tuple[int, int]] = []
+    n = len(sizes)
     heap = []
     for i, s in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[-1] = s
-        heap.append((-s, i, sums, [(k - 1, i)] and {k - 1: [i]}))
+        sums, top = np.zeros(k, np.int64), np.full(k, -1, np.int64)
+        sums[-1], top[-1] = s, i
+        heap.append((-s, i, sums, top))
     heapq.heapify(heap)
-    number = len(sizes)
+    number = n
     while len(heap) > 1:
-        _, _, s1, m1 = heapq.heappop(heap)
-        _, _, s2, m2 = heapq.heappop(heap)
-        # sums ascend; the fullest of one meets the emptiest of the other
-        sums = s1 + s2[::-1]
+        _, _, s1, t1 = heapq.heappop(heap)
+        _, _, s2, t2 = heapq.heappop(heap)
+        # the fullest windows of one meet the emptiest of the other
+        t2 = t2[::-1]
+        sums, top = s1 + s2[::-1], np.maximum(t1, t2)
+        for w in np.flatnonzero((t1 >= 0) & (t2 >= 0)).tolist():
+            top[w] = n + len(forest)
+            forest.append((int(t1[w]), int(t2[w])))
         order = np.argsort(sums, kind="stable")
-        rank = np.empty(k, np.int64)
-        rank[order] = np.arange(k)
         sums = sums[order]
         sums -= sums[0]
-        sets: dict[int, list[int]] = {int(rank[w]): x for w, x in m1.items()}
-        for w, x in m2.items():
-            at = int(rank[k - 1 - w])
-            sets[at] = sets[at] + x if at in sets else x
-        heapq.heappush(heap, (-int(sums[-1]), number, sums, sets))
+        heapq.heappush(heap, (-int(sums[-1]), number, sums, top[order]))
         number += 1
-    return list(heap[0][3].values()) if heap else []
+    out = []
+    for t in heap[0][3].tolist() if heap else []:
+        members, todo = [], [t] if t >= 0 else []
+        while todo:
+            x = todo.pop()
+            if x < n:
+                members.append(x)
+            else:
+                todo.extend(forest[x - n])
+        if members:
+            out.append(members)
+    return out
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -63,6 +77,27 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
+def level(windows: list[list[tuple[int, int, int]]], capacity: int) -> None:
+    """Cuts what stands over ``capacity`` off windows of (piece, start, length) and fills it into those with room."""
+    filled = [sum(p[2] for p in w) for w in windows]
+    spare = [i for i in range(len(windows)) if filled[i] < capacity]
+    for i, w in enumerate(windows):
+        while filled[i] > capacity:
+            longest = max(range(len(w)), key=lambda k: w[k][2])
+            piece, start, length = w[longest]
+            to = spare[-1]
+            moved = min(filled[i] - capacity, length, capacity - filled[to])
+            windows[to].append((piece, start + length - moved, moved))
+            filled[to] += moved
+            filled[i] -= moved
+            if filled[to] == capacity:
+                spare.pop()
+            if moved == length:
+                w.pop(longest)
+            else:
+                w[longest] = (piece, start, length - moved)
+
+
 def cuts(n: int, capacity: int, grain: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full windows, then a remainder in near-equal pieces of at most ``grain``."""
     full = n // capacity * capacity
@@ -79,13 +114,12 @@ class Encoder:
     """Token ids of whole texts. Between two characters that aren't white space a single space always begins a new
     pre-token, so the stretches between such spaces are encoded once each and looked up afterwards."""
 
-    def __init__(self, vocabulary: str, held: int = 600_000):
+    def __init__(self, vocabulary: str, held: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(vocabulary)
         self.fast = self._ranked(vocabulary)
-        self.memo: dict[str, np.ndarray | list[int]] = {}
-        self.held = held
+        self.memo = _Memo(self._ids, held)
         self.space = re.compile(r"(?<=\S) (?=\S)")
 
     def _ranked(self, vocabulary: str) -> Callable[[str], list[int]] | None:
@@ -112,31 +146,47 @@ class Encoder:
         inner = tiktoken.Encoding("held", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         return lambda x: self.exact.encode(x, add_special_tokens=False).ids if any(s in x for s in special) else inner.encode_ordinary(x)
 
-    def _ids(self, chunk: str) -> list[int]:
-        return self.fast(chunk) if self.fast else self.exact.encode(chunk, add_special_tokens=False).ids
-
-    def __call__(self, text: str) -> list[int]:
-        if not text:
-            return []
-        memo, out = self.memo, []
-        if len(memo) > self.held:
-            memo.clear()
-        words = self.space.split(text)
-        out += self._ids(words[0])
-        for w in words[1:]:
-            got = memo.get(w)
-            if got is None:
-                got = self._ids(" " + w)
-                if len(w) <= 40:
-                    memo[w] = got
-            out += got
+    def _ids(self, chunk: str) -> bytes:
+        return array("I", self.fast(chunk) if self.fast else self.exact.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit numbers."""
+        first, *rest = text.split(" ")
+        try:
+            return self._ids(first) + b"".join(map(self.memo.__getitem__, rest)) if text else b""
+        except _BlankEdge:
+            # borders only between two characters that aren't blank; just the first and last stretch may have blank ends
+            first, *rest = self.space.split(text)
+            last = self._ids(" " + rest.pop()) if rest else b""
+            return self._ids(first) + b"".join(map(self.memo.__getitem__, rest)) + last
+
+
+class _BlankEdge(Exception):
+    """A stretch begins or ends with white space, so the space before or after it isn't a border."""
+
+
+class _Memo(dict):
+    """Stretch -> ids of it with the space before it."""
+
+    def __init__(self, ids: Callable[[str], bytes], held: int):
+        super().__init__()
+        self.ids, self.held = ids, held
+
+    def __missing__(self, w: str) -> bytes:
+        if not w or w[0].isspace() or w[-1].isspace():
+            raise _BlankEdge
+        out = self.ids(" " + w)
+        if len(w) <= 40:
+            if len(self) >= self.held:
+                self.clear()
+            self[w] = out
         return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0, grain: int = 256, windows: int = 64, margin: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0, grain: int = 512, windows: int = 64, margin: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A row's ids are those of its text (null is the empty text), then ``end_id``; each id lies in exactly one piece.
@@ -150,17 +200,22 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_i
 
         encode = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, Encoder(vocabulary))
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        end = end_id.to_bytes(4, "little")
         rows: list[tuple] = []
         block: list[tuple] = []
         filled, room = 0, windows * (capacity - margin)
 
         def flush() -> None:
             nonlocal sequence, filled
-            for members in pack([p[2] for p in block], capacity):
+            sets = differencing([len(p[2]) // 4 for p in block], max(1, -(-filled // capacity)))
+            packed = [[(i, 0, len(block[i][2]) // 4) for i in sorted(x)] for x in sets]
+            level(packed, capacity)
+            for window in packed:
                 offset = 0
-                for i in sorted(members):
-                    rows.append((*block[i], sequence, offset))
-                    offset += block[i][2]
+                for i, at, length in window:
+                    doc, start, ids, n = block[i]
+                    rows.append((doc, start + at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), n, sequence, offset))
+                    offset += length
                 sequence += 1
             block.clear()
             filled = 0
@@ -172,16 +227,17 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_i
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
-                for start, length in cuts(len(ids), capacity, grain):
-                    piece = (doc, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids))
+                ids = encode(text.as_py() or "") + end
+                n = len(ids) // 4
+                for start, length in cuts(n, capacity, grain):
+                    piece = ids[4 * start : 4 * (start + length)]
                     if length == capacity:
-                        rows.append((*piece, sequence, 0))
+                        rows.append((doc, start, length, zlib.crc32(piece), n, sequence, 0))
                         sequence += 1
                         continue
                     if filled + length > room:
                         flush()
-                    block.append(piece)
+                    block.append((doc, start, piece, n))
                     filled += length
                 if len(rows) > 20_000:
                     yield out()
