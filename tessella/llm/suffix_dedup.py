@@ -17,6 +17,8 @@ A byte goes if a string of ``width`` (50) bytes that covers it also starts in a
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -223,7 +225,8 @@ RAW = "digest binary, part int, doc_id long, b binary"
 RUN = "slice int, part int, hashes binary, docs binary"
 STRETCH = "shard int, part int, uids binary, doc_ids binary, starts binary, lengths binary, anchors binary, totals binary, b binary"
 GONE = "part int, uid long, first long, last long"
-DOUBT = "shard int, windows binary, parts binary, uids binary, doc_ids binary, starts binary"
+#: Either a lost run, or the windows that a shard of a hot anchor leaves in doubt.
+JUDGED = GONE + ", shard int, windows binary, parts binary, uids binary, doc_ids binary, starts binary"
 DONE = "digest binary, first long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -231,13 +234,47 @@ def _uid(digest: bytes) -> int:
     return int.from_bytes(digest[8:16], "little", signed=True)
 
 
+def _trimmed(step):
+    """``step`` on one table, after which a worker hands the memory it has freed back to the system; workers outlive tasks."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = step(t)
+        give_back()
+        return out
+
+    return run
+
+
+def _trimmed_pair(step):
+    """The same for a step on two tables."""
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = step(a, b)
+        give_back()
+        return out
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _local_firsts(n: int):
     """Of each text in a task, one row with its bytes; further rows without bytes only for smaller identifiers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[bytes, int] = {}
+        kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary())
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["digest", "part", "doc_id", "b"])
+
         for batch in batches:
             rows: list[tuple] = []
+            size = 0
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 b = t.as_buffer().to_pybytes() if t.is_valid else b""
                 d = hashlib.sha256(b).digest()
@@ -245,8 +282,13 @@ def _local_firsts(n: int):
                 if seen is None or doc < seen:
                     least[d] = doc
                     rows.append((d, int.from_bytes(d[:6], "little") % n, doc, b if seen is None else None))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["digest", "part", "doc_id", "b"])
+                    size += len(b)
+                if size > 1 << 22:
+                    yield out(rows)
+                    rows, size = [], 0
+            if rows:
+                yield out(rows)
+            give_back()
 
     return run
 
@@ -263,6 +305,7 @@ def _firsts(t: pa.Table) -> list[tuple[bytes, int, bytes]]:
 
 
 def _anchor_runs(width: int, gram: int, slices: int):
+    @_trimmed
     def run(t: pa.Table) -> pa.Table:
         texts = [b for _, _, b in _firsts(t)]
         hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -292,6 +335,7 @@ def _slice_edges(slices: int) -> np.ndarray:
     return np.array([(1 << 64) * k // slices for k in range(slices)], np.uint64)
 
 
+@_trimmed
 def _shared_anchors(t: pa.Table) -> pa.Table:
     """Merges a slice's sorted runs: each part gets back its anchors of two documents or more, with how many there are."""
     runs = [np.frombuffer(x, "<u8") for x in t["hashes"].to_pylist()]
@@ -315,6 +359,7 @@ def _shared_anchors(t: pa.Table) -> pa.Table:
 
 
 def _cut_stretches(width: int, gram: int, shards: int, hot: int):
+    @_trimmed_pair
     def run(texts: pa.Table, shared: pa.Table) -> pa.Table:
         order = np.argsort(shared["slice"].to_numpy(), kind="stable")
         blobs, counts = shared["hashes"].to_pylist(), shared["docs"].to_pylist()
@@ -399,10 +444,11 @@ class _Shard:
         return cls(part[o], col("uids", "<i8")[o], col("doc_ids", "<i8")[o], col("starts", "<i8")[o], length[o], anchor[o], col("totals", "<u4")[o].astype(np.int64), [whole[i:j] for i, j in zip(begin, stop, strict=True)])
 
 
-def _judge_shard(width: int, chunk: int, most: int):
-    """Lost windows of a shard (level one), and with ``doubt`` the windows of hot anchors that other shards may still beat."""
+def _judge_shard(width: int, chunk: int, most: int, shards: int):
+    """Lost windows of a shard, and the windows of anchors of over ``most`` documents that other shards may still beat."""
 
-    def run(t: pa.Table, doubt: bool, shards: int) -> pa.Table:
+    @_trimmed
+    def run(t: pa.Table) -> pa.Table:
         s = _Shard.of(t)
         lost: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held: list[tuple] = []
@@ -424,19 +470,17 @@ def _judge_shard(width: int, chunk: int, most: int):
                 best = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
                 np.minimum.at(best, group, low)
                 beaten = low > best[group]
-                if doubt:
-                    mask = ~beaten & np.array(hot, bool)[owner]
-                    for u, j in zip(owner[mask].tolist(), local[mask].tolist(), strict=True):
-                        for r in holders[u]:
-                            held.append((texts[u][j : j + width], int(s.part[r]), int(s.uid[r]), int(s.doc_id[r]), int(s.start[r]) + j))
-                else:
-                    owner, local = owner[beaten], local[beaten]
-                    n = np.array([len(h) for h in holders], np.int64)
-                    rows = np.concatenate([np.asarray(h, np.int64) for h in holders])
-                    many = n[owner]
-                    pick = np.repeat((np.cumsum(n) - n)[owner], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                    row = rows[pick]
-                    lost.append((s.part[row], s.uid[row], s.start[row] + np.repeat(local, many)))
+                mask = ~beaten & np.array(hot, bool)[owner]
+                for u, j in zip(owner[mask].tolist(), local[mask].tolist(), strict=True):
+                    for r in holders[u]:
+                        held.append((texts[u][j : j + width], int(s.part[r]), int(s.uid[r]), int(s.doc_id[r]), int(s.start[r]) + j))
+                owner, local = owner[beaten], local[beaten]
+                n = np.array([len(h) for h in holders], np.int64)
+                rows = np.concatenate([np.asarray(h, np.int64) for h in holders])
+                many = n[owner]
+                pick = np.repeat((np.cumsum(n) - n)[owner], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                row = rows[pick]
+                lost.append((s.part[row], s.uid[row], s.start[row] + np.repeat(local, many)))
             texts.clear(), least.clear(), hot.clear(), holders.clear()
 
         size = 0
@@ -445,13 +489,11 @@ def _judge_shard(width: int, chunk: int, most: int):
             for r in range(int(i), int(j)):
                 rows_of.setdefault(s.texts[r], []).append(r)
             is_hot = bool(s.total[i] > most)
-            if doubt and not is_hot:
-                continue
             for text, rows in rows_of.items():
                 if len(rows) > 1:
                     own = np.array(rows)
                     low = s.doc_id[own].min()
-                    if not doubt and (own_lost := own[s.doc_id[own] > low]).size:
+                    if (own_lost := own[s.doc_id[own] > low]).size:
                         all_windows(own_lost)
                     rows = own[s.doc_id[own] == low].tolist()
                 if len(rows_of) > 1 or is_hot:
@@ -464,15 +506,16 @@ def _judge_shard(width: int, chunk: int, most: int):
                 flush()
                 size = 0
         flush()
-        if doubt:
-            at: dict[int, list[tuple]] = {}
-            for h in held:
-                at.setdefault(zlib.crc32(h[0]) % shards, []).append(h)
-            names = ["shard", "windows", "parts", "uids", "doc_ids", "starts"]
-            cols = [[b"".join(x[0] for x in v) for v in at.values()], *([np.array([x[k] for x in v], "<i8").tobytes() for v in at.values()] for k in range(1, 5))]
-            return pa.table([pa.array(list(at), pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names)
+        at: dict[int, list[tuple]] = {}
+        for h in held:
+            at.setdefault(zlib.crc32(h[0]) % shards, []).append(h)
         part, uid, start = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*lost, strict=True)) if lost else [np.zeros(0, np.int64)] * 3
-        return pa.Table.from_batches([_intervals(part, uid, start, width)])
+        gone = _intervals(part, uid, start, width)
+        n, m = gone.num_rows, len(at)
+        cols = [pa.concat_arrays([gone.column(k), pa.nulls(m, gone.column(k).type)]) for k in range(4)]
+        blobs = [[b"".join(x[0] for x in v) for v in at.values()], *([np.array([x[k] for x in v], "<i8").tobytes() for v in at.values()] for k in range(1, 5))]
+        cols += [pa.array([None] * n + list(at), pa.int32()), *(pa.array([None] * n + b, pa.binary()) for b in blobs)]
+        return pa.table(cols, ["part", "uid", "first", "last", "shard", "windows", "parts", "uids", "doc_ids", "starts"])
 
     return run
 
@@ -480,6 +523,7 @@ def _judge_shard(width: int, chunk: int, most: int):
 def _merge_doubt(width: int):
     """Sorted runs of windows in doubt: each is looked up among the distinct windows by binary search; only the smallest document keeps it."""
 
+    @_trimmed
     def run(t: pa.Table) -> pa.Table:
         runs = [np.frombuffer(x, np.uint8).reshape(-1, width) for x in t["windows"].to_pylist()]
         part, uid, doc, start = (np.concatenate([np.frombuffer(x, "<i8") for x in t[c].to_pylist()]) for c in ("parts", "uids", "doc_ids", "starts"))
@@ -501,6 +545,7 @@ def _merge_doubt(width: int):
 
 
 def _without(width: int):
+    @_trimmed_pair
     def run(texts: pa.Table, gone: pa.Table) -> pa.Table:
         at: dict[int, list[tuple[int, int]]] = {}
         for uid, i, j in zip(gone["uid"].to_pylist(), gone["first"].to_pylist(), gone["last"].to_pylist(), strict=True):
@@ -526,11 +571,13 @@ def _without(width: int):
     return run
 
 
+#: Parts of the corpus per shuffle partition: a part's texts are in memory together.
+PARTS = 4
 #: Identifier that null stands for inside: it comes after all others.
 LAST = (1 << 63) - 1
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, chunk: int = 1 << 21, hot: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, chunk: int = 1 << 19, hot: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are taken as UTF-8, null as empty. Bytes go that lie in a string of ``width`` bytes which also starts in a
@@ -542,15 +589,13 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, chunk: int
     spark = docs.sparkSession
     n = parts(spark)
     source = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("doc_id"), docs[text_col].cast("string").cast("binary").alias("b"))
-    texts = stored(source.mapInArrow(_local_firsts(n), RAW).repartition(n, "part"), n, "part")
+    texts = stored(source.mapInArrow(_local_firsts(PARTS * n), RAW).repartition(n, "part"), n, "part")
     runs = texts.groupBy("part").applyInArrow(_anchor_runs(width, gram, n), RUN)
     shared = runs.groupBy("slice").applyInArrow(_shared_anchors, RUN)
-    cut = durable(texts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_cut_stretches(width, gram, n, hot), STRETCH))
-    judge = _judge_shard(width, chunk, hot)
-    lost = cut.groupBy("shard").applyInArrow(lambda t: judge(t, False, n), GONE)
-    doubt = cut.groupBy("shard").applyInArrow(lambda t: judge(t, True, n), DOUBT)
-    merged = doubt.groupBy("shard").applyInArrow(_merge_doubt(width), GONE)
-    gone = lost.unionByName(merged)
+    cut = texts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_cut_stretches(width, gram, n, hot), STRETCH)
+    judged = durable(cut.groupBy("shard").applyInArrow(_judge_shard(width, chunk, hot, n), JUDGED))
+    merged = judged.where("shard is not null").groupBy("shard").applyInArrow(_merge_doubt(width), GONE)
+    gone = judged.where("shard is null").select("part", "uid", "first", "last").unionByName(merged)
     done = durable(texts.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(_without(width), DONE))
     rows = source.select("doc_id", F.unhex(F.sha2(F.coalesce("b", F.lit(b"")), 256)).alias("digest"))
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= width)
