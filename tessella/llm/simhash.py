@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -154,6 +154,11 @@ def linked(fps: DataFrame) -> DataFrame:
     )
 
 
+def _rooted(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the root of their ``key`` among the components ``found(node, root)``; a key without links is its own."""
+    return rows.join(found, rows[key] == found["node"], "left").withColumn("root", F.coalesce("root", key)).drop("node")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row: doc_id, fp (signed), component_id.
 
@@ -164,18 +169,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = durable(docs.select(docs[id_col].alias("doc_id"), fingerprint_udf(docs[text_col]).alias("fp")))
     firsts = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(linked(firsts.select("fp")))
-    classes = firsts.join(found, firsts["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    classes = _rooted(firsts, components(linked(firsts.select("fp"))), "fp")
     lowest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = classes.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def row_tag(doc_id: Column, text: Column) -> Column:
+    """64 bits that stand for a row's identifier and text; a null identifier or text is told from any other."""
+    return F.xxhash64(doc_id, doc_id.isNull(), text, text.isNull())
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, that with its smallest identifier, with the columns of ``docs`` as they were."""
-    stays = near_duplicates(docs, id_col, text_col).where("doc_id <=> component_id").select(F.col("component_id").alias("k")).distinct()
-    wide = docs.select(F.struct("*").alias("row"), docs[id_col].alias("doc_id"))
-    return wide.join(stays, F.col("doc_id").eqNullSafe(F.col("k"))).dropDuplicates(["doc_id"]).select("row.*")
+    """One row of each component, with the columns of ``docs`` as they were.
+
+    It is the row with the smallest identifier, null identifiers last, and of those the text with the smallest hash.
+    Identifiers only order the rows of a component: rows of different components that share one, or have none, all
+    stay. Of rows that repeat identifier and text one stays.
+    """
+    doc_id, text = docs[id_col], docs[text_col]
+    tag = row_tag(doc_id, text).alias("tag")
+    rows = durable(docs.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("h"), tag, fingerprint_udf(text).alias("fp")))
+    classes = _rooted(rows, components(linked(rows.select("fp").distinct())), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "tag"))
+    stays = classes.groupBy("root").agg(first.alias("row")).select(F.col("row.tag").alias("k")).distinct()
+    wide = docs.select(F.struct("*").alias("row"), tag)
+    return wide.join(stays, F.col("tag") == F.col("k")).dropDuplicates(["tag"]).select("row.*")
 
 
 def hex16(fp) -> "F.Column":
