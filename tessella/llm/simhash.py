@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .common import components, durable, parts
+from .resemblance import resembling
 
 BYTES, SHARED, BITS = 8, 6, 2
 #: Above this many members a posting is searched by flipping bits.
@@ -180,17 +181,17 @@ def row_tag(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, doc_id.isNull(), text, text.isNull())
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with the columns of ``docs`` as they were.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each component of near copies, with the columns of ``docs`` as they were.
 
-    It is the row with the smallest identifier, null identifiers last, and of those the text with the smallest hash.
-    Identifiers only order the rows of a component: rows of different components that share one, or have none, all
-    stay. Of rows that repeat identifier and text one stays.
+    Near copies have sets of ``width``-word shingles of Jaccard similarity ``similarity`` or more (the two bits of the
+    fingerprints are the contract of ``near_duplicates`` alone). The row that stays has the smallest identifier, null
+    identifiers last, and of those the text with the smallest hash. Identifiers only order the rows of a component: rows
+    of different components that share one, or have none, all stay. Of rows that repeat identifier and text one stays.
     """
     doc_id, text = docs[id_col], docs[text_col]
     tag = row_tag(doc_id, text).alias("tag")
-    rows = durable(docs.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("h"), tag, fingerprint_udf(text).alias("fp")))
-    classes = _rooted(rows, components(linked(rows.select("fp").distinct())), "fp")
+    classes = resembling(docs, [doc_id.alias("doc_id"), F.xxhash64(text).alias("h"), tag], text, width, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "tag"))
     stays = classes.groupBy("root").agg(first.alias("row")).select(F.col("row.tag").alias("k")).distinct()
     wide = docs.select(F.struct("*").alias("row"), tag)

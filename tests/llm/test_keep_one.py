@@ -36,3 +36,47 @@ def test_choice_does_not_follow_row_order(spark):
     rows = [(None, a), (None, a.upper()), (None, a.title())]
     assert kept(spark, rows) == kept(spark, rows[::-1]) and len(kept(spark, rows)) == 1
     assert simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").where(F.lit(False))).count() == 0
+
+
+def brute(texts, width=5, similarity=0.8):
+    """Positions of the first text of each component."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    first, left = [], set(range(len(texts)))
+    while left:
+        todo = [min(left)]
+        first.append(todo[0])
+        left -= set(todo)
+        while todo:
+            x = sets[todo.pop()]
+            near = {b for b in left if x == sets[b] or len(x & sets[b]) >= similarity * len(x | sets[b]) > 0}
+            todo += near
+            left -= near
+    return first
+
+
+def edited(rng, text, share):
+    return " ".join(f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in text.split())
+
+
+def test_near_copies_of_edited_words_go(spark):
+    rng = random.Random(5)
+    base = prose(9, 200)
+    words = base.split()
+    words[50] = words[120] = "changed"
+    texts = [base, " ".join(words), edited(rng, base, 0.5), "", " ", "one two", "ONE two", "one three", prose(10, 5)]
+    assert [i for i, _ in kept(spark, list(enumerate(texts)))] == brute(texts) == [0, 2, 3, 5, 7, 8]
+
+
+def test_components_of_large_and_small_groups(spark):
+    rng = random.Random(6)
+    hot, line = prose(11, 120), prose(12, 20)
+    texts = [edited(rng, hot, rng.choice([0.005, 0.01, 0.02, 0.03, 0.06])) for _ in range(150)]
+    texts += [f"{prose(100 + k, rng.randint(5, 30))} {line}" for k in range(80)]
+    for k in range(20):
+        own = prose(300 + k, rng.randint(3, 150))
+        texts += [own, edited(rng, own, 0.01), edited(rng, own, 0.03)]
+    rng.shuffle(texts)
+    assert [i for i, _ in kept(spark, list(enumerate(texts)))] == brute(texts)
