@@ -33,14 +33,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
     weighted = by_source.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
     capped = weighted.withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    filled = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
+    filled = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
     level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(filled), F.lit(0.0))) / (
         F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(filled), F.lit(0.0))
     )
-    levels = capped.withColumn("level", level)
-    # the level at the first source that isn't capped holds for all after it
-    settled = F.coalesce(F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(whole)["level"], F.lit(float("inf")))
+    levels = capped.withColumn("level", level).withColumn("rank", F.row_number().over(by_ratio))
+    # the level at the first source that isn't capped holds for all after it, those that tie with it too
+    settled = F.coalesce(F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct("rank", "level"))).over(whole)["level"], F.lit(float("inf")))
     return levels.select("source", "source_size", "weight", F.least("cap", settled * F.col("weight")).alias("target"))
 
 
