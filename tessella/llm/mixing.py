@@ -2,18 +2,20 @@
 
 Each source has a weight schedule over training time 0..1, piecewise linear between knots. Integrating it gives the
 source's cumulative token demand; its documents, in a fixed pseudo-random order and repeated as the target asks, fill
-that demand, and inverting the demand at the middle of a document's tokens gives its training position. Documents are
-then range-sorted by position.
+that demand, and inverting the demand at the middle of a copy's tokens gives its training position. Copies are then
+range-sorted by position.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import durable, parts
+from .common import durable, parts, row_tag
 
 
 @F.pandas_udf(LongType())
@@ -85,28 +87,20 @@ def position(knots: Column, filled: Column, share: Column) -> Column:
     return F.least(b["t"], a["t"] + F.coalesce(F.try_divide(2 * rest, a["w"] + root), F.lit(0.0)))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, tilt: float = 0.5, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Every row: doc_id, source, size, source_size, target, copies, taken, position.
-
-    ``copies`` is how often the mix takes the document (whole passes over its source, then one more for the documents
-    whose middle lies in what is left), ``taken`` the words of all copies, ``position`` the training time of the first
-    copy (null if none). Null text and null source are legal: size 0, and a source of their own that comes last. The
-    order inside a source hashes doc_id, so reruns agree; rows that repeat doc_id and size are interchangeable. An
-    empty table gives no rows. Running totals are two-level (hash buckets, then rows), so a hot source is spread over
-    all tasks; the table of targets has one row per source.
-    """
+def _dealt(docs: DataFrame, weights: tuple[int, ...], most: float, tilt: float, seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """The rows of ``mix`` without positions, and the training time of a row's copy ``p`` (from 0) as a column."""
     spark = docs.sparkSession
     buckets = max(1024, 8 * parts(spark))
     order = F.xxhash64(docs[id_col], F.lit(seed))
     sizes = durable(
-        docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), order.alias("h"), F.pmod(order, F.lit(buckets)).cast("int").alias("bucket"))
+        docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), row_tag(docs[id_col], docs[text_col]).alias("tag"), order.alias("h"), F.pmod(order, F.lit(buckets)).cast("int").alias("bucket"))
     )
     totals = linear_curriculum(source_targets(sizes, weights, most), tilt)
     per_bucket = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_bucket.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     plan = starts.alias("s").join(totals.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "s.bucket", "offset", "source_size", "target", "knots", demand(F.col("knots")).alias("filled"))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("h", F.col("doc_id").asc_nulls_last(), "size", "tag").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("size").over(inside), F.lit(0))
     rows = sizes.withColumn("start", start).alias("d").join(plan.alias("p"), (F.col("d.bucket") == F.col("p.bucket")) & F.col("d.source").eqNullSafe(F.col("p.source")))
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
@@ -115,24 +109,45 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
     left = F.col("target") - full * F.col("source_size")
     begin = F.col("offset") + F.col("start")
     copies = F.when(F.col("size") == 0, 1).otherwise(F.least(F.lit(int(most)), full + (begin + F.col("size") / 2 < left).cast("long"))).cast("int")
-    middle = F.coalesce(F.try_divide(begin + F.col("size") / 2, "target"), F.lit(0.0))
+
+    def when(p: Column) -> Column:
+        middle = F.coalesce(F.try_divide(p * F.col("source_size") + F.col("begin") + F.col("size") / 2, "target"), F.lit(0.0))
+        return position(F.col("knots"), F.col("filled"), F.least(F.lit(1.0), middle))
+
+    return rows.select("d.doc_id", "d.source", "size", "tag", "source_size", "target", "knots", "filled", begin.alias("begin"), copies.alias("copies")), when
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, tilt: float = 0.5, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Every row: doc_id, source, size, source_size, target, copies, taken, position.
+
+    ``copies`` is how often the mix takes the document (whole passes over its source, then one more for the documents
+    whose middle lies in what is left), ``taken`` the words of all copies, ``position`` the training time of the first
+    copy (null if none); ``mixed_rows`` places the others. Null text and null source are legal: size 0, and a source of
+    their own that comes last. The order inside a source hashes doc_id, so reruns agree; rows that repeat doc_id and
+    text are interchangeable. An empty table gives no rows. Running totals are two-level (hash buckets, then rows), so a
+    hot source is spread over all tasks; the table of targets has one row per source.
+    """
+    rows, when = _dealt(docs, weights, most, tilt, seed, id_col, text_col, source_col)
     return rows.select(
-        "d.doc_id",
-        "d.source",
+        "doc_id",
+        "source",
         "size",
         "source_size",
         "target",
-        copies.alias("copies"),
-        (F.col("size") * copies).cast("long").alias("taken"),
-        F.when(copies > 0, position(F.col("knots"), F.col("filled"), F.least(F.lit(1.0), middle))).alias("position"),
+        "copies",
+        (F.col("size") * F.col("copies")).cast("long").alias("taken"),
+        F.when(F.col("copies") > 0, when(F.lit(0))).alias("position"),
     )
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, range-sorted by training position."""
-    id_col = options.get("id_col", "doc_id")
-    plan = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("copies"), F.min("position").alias("position"))
-    wide = docs.select(F.struct("*").alias("row"), docs[id_col].alias("doc_id"))
-    joined = wide.join(plan.withColumnRenamed("doc_id", "k"), F.col("doc_id").eqNullSafe(F.col("k"))).where("copies > 0")
-    copied = joined.withColumn("pass", F.explode(F.sequence(F.lit(1), "copies")))
-    return copied.repartitionByRange(parts(docs.sparkSession), "pass", "position", "doc_id").sortWithinPartitions("pass", "position", "doc_id").select("row.*")
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, tilt: float = 0.5, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, range-sorted by the training position of every copy.
+
+    Copy ``p`` lies ``p`` times its source's size further on in the source's demand than the first.
+    """
+    rows, when = _dealt(docs, weights, most, tilt, seed, id_col, text_col, source_col)
+    copies = rows.where("copies > 0").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    plan = copies.select(F.col("tag").alias("k"), "p", when(F.col("p")).alias("position")).groupBy("k", "p").agg(F.min("position").alias("position"))
+    wide = docs.select(F.struct("*").alias("row"), row_tag(docs[id_col], docs[text_col]).alias("tag"))
+    joined = wide.join(plan, F.col("tag") == F.col("k"))
+    return joined.repartitionByRange(parts(docs.sparkSession), "position", "tag").sortWithinPartitions("position", "tag").select("row.*")

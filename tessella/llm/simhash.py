@@ -17,11 +17,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import components, durable, parts
+from .common import components, durable, parts, row_tag
 from .resemblance import resembling
 
 BYTES, SHARED, BITS = 8, 6, 2
@@ -176,11 +176,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def row_tag(doc_id: Column, text: Column) -> Column:
-    """64 bits that stand for a row's identifier and text; a null identifier or text is told from any other."""
-    return F.xxhash64(doc_id, doc_id.isNull(), text, text.isNull())
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each component of near copies, with the columns of ``docs`` as they were.
 

@@ -23,3 +23,17 @@ def test_targets_of_ties(spark, sizes, targets):
     got = [r.target for r in sorted(mixing.source_targets(df).collect())]
     assert sum(got) == pytest.approx(sum(sizes))
     assert got == pytest.approx(targets)
+
+
+def test_order_follows_every_copy(spark):
+    rows = [(i, "w " * 10, "a") for i in range(40)] + [(100 + i, "w " * 10, "b") for i in range(400)] + [(None, f"w{i} " * 10, "a") for i in range(10)]
+    df = spark.createDataFrame(rows, DOCS)
+    order = [r.source for r in mixing.mixed_rows(df, tilt=0.0).collect()]
+    at = [k / len(order) for k, s in enumerate(order) if s == "a"]
+    copies = {r.doc_id: r.copies for r in mixing.mix(df).collect() if r.doc_id is not None}
+    assert len(at) == 150 and all(copies[i] == 3 for i in range(40))
+    # without a tilt a source is as frequent at any time
+    assert all(abs(x - (k + 0.5) / len(at)) < 0.05 for k, x in enumerate(at))
+    passes = [r.doc_id for r in mixing.mixed_rows(df, tilt=0.0).collect() if r.source == "a" and r.doc_id is not None]
+    assert passes[:40] == passes[40:80] == passes[80:]
+    assert mixing.mixed_rows(df.limit(0)).count() == 0
