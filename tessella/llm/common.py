@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,13 +41,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, buckets: int, key: str) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder as a table bucketed by ``key``, so that later groupings by it don't shuffle it again."""
+@contextlib.contextmanager
+def stored(df: DataFrame, buckets: int, key: str) -> Iterator[DataFrame]:
+    """``df`` as a table bucketed by ``key`` in the checkpoint folder, so that groupings by it don't shuffle it again; gone afterwards."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     name = f"tessella_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).format("parquet").option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").saveAsTable(name)
-    return spark.table(name)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    df.write.bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def crc32_text(col: Column) -> Column:
@@ -57,6 +67,22 @@ def row_tag(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, doc_id.isNull(), text, text.isNull())
 
 
+def smallest_hashes(rows: DataFrame, h: str, sizes: dict, n: int, by: str | None = None) -> DataFrame:
+    """The rows of each group ``by`` whose hash ``h`` (signed, 64 bits) is among about the ``n`` smallest, by a threshold.
+
+    ``sizes`` gives the groups' rows. The threshold leaves as many rows as are wanted and six standard deviations more,
+    so that nothing has to be ranked; groups of ``n`` rows or fewer stay whole.
+    """
+    wanted = n + 6 * math.sqrt(n) + 20
+    limits = [(k, (1 << 63) - 1 if size <= wanted else int(wanted / size * (1 << 64)) - (1 << 63)) for k, size in sizes.items()]
+    if by is None:
+        return rows.where(F.col(h) <= F.lit(limits[0][1]))
+    key = rows.schema[by].dataType.simpleString()
+    table = rows.sparkSession.createDataFrame(limits, f"grp {key}, most long")
+    # one row a group
+    return rows.join(F.broadcast(table), (F.col(by) == F.col("grp")) & (F.col(h) <= F.col("most"))).drop("grp", "most")
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(node, root)`` per node, root being the smallest node id reachable.
 

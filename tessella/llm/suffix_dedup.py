@@ -3,6 +3,7 @@
 A byte goes if a string of ``width`` (50) bytes that covers it also starts in a document with a smaller identifier.
 
 1. Copies: a text equal to that of a smaller document goes whole, so only the first document of each text is searched.
+   Digests and identifiers decide which one that is; the bytes of a text with very many copies travel once.
 2. Anchors: in each window of ``width`` bytes the ``gram`` bytes with the smallest hash are its anchor. Equal windows
    have equal anchors, so only windows whose anchor occurs in two documents can repeat. Every part of the corpus sends
    its anchors as sorted runs; slices of the hash space are merged by binary search and tell each part which of its
@@ -11,8 +12,9 @@ A byte goes if a string of ``width`` (50) bytes that covers it also starts in a
    of its stretches by Larsson-Sadakane refinement (sort by the first bytes, then double the depth, sorting only groups
    that are still tied), gets common prefixes by Kasai's rule that they shrink by one at most from a position to the
    next, and so finds the runs of equal windows. All but a run's smallest document lose the window.
-4. Merging: an anchor shared by very many documents is dealt to several shards; each keeps its run's smallest document
-   in doubt, and the sorted runs of windows in doubt are merged in shards by window, again by binary search.
+4. Merging: an anchor shared by very many documents is dealt to several shards; each leaves its runs' smallest documents
+   in doubt. Its suffix order gives these windows as sorted runs, which are merged in shards by window: the places of
+   one run in another are found by binary search, in rounds like a tournament.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import hashlib
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -104,7 +105,11 @@ def stretches_of(texts: list, width: int, gram: int) -> Iterator[Stretches]:
             return None
         own = piece[first]
         docs, offsets = (np.array([x[k] for x in pieces], np.int64) for k in (0, 1))
-        return Stretches(b, docs[own], first, ends, first - begin[own] + offsets[own], h[at[first]])
+        # the smallest of many hashes is small; mixed anew, anchors are spread evenly over the slices of the hash space
+        anchor = h[at[first]] * np.uint64(MULT)
+        anchor ^= anchor >> np.uint64(32)
+        anchor *= np.uint64(MULT)
+        return Stretches(b, docs[own], first, ends, first - begin[own] + offsets[own], anchor)
 
     pieces, size = [], 0
     for i, t in enumerate(texts):
@@ -262,8 +267,11 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def _local_firsts(n: int):
-    """Of each text in a task, one row with its bytes; further rows without bytes only for smaller identifiers."""
+def _local_firsts(n: int, known: dict[bytes, int]):
+    """Of each text in a task, one row with its bytes; further rows without bytes only for smaller identifiers.
+
+    Of texts whose first document is ``known`` only that document's row goes on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[bytes, int] = {}
@@ -276,12 +284,14 @@ def _local_firsts(n: int):
             rows: list[tuple] = []
             size = 0
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                b = t.as_buffer().to_pybytes() if t.is_valid else b""
+                b = t.as_buffer() if t.is_valid else b""
                 d = hashlib.sha256(b).digest()
+                if known.get(d, doc) != doc:
+                    continue
                 seen = least.get(d)
                 if seen is None or doc < seen:
                     least[d] = doc
-                    rows.append((d, int.from_bytes(d[:6], "little") % n, doc, b if seen is None else None))
+                    rows.append((d, int.from_bytes(d[:6], "little") % n, doc, bytes(b) if seen is None else None))
                     size += len(b)
                 if size > 1 << 22:
                     yield out(rows)
@@ -293,14 +303,14 @@ def _local_firsts(n: int):
     return run
 
 
-def _firsts(t: pa.Table) -> list[tuple[bytes, int, bytes]]:
-    """(digest, smallest identifier, bytes) of every text of a part."""
+def _firsts(t: pa.Table) -> list[tuple[bytes, int, memoryview]]:
+    """(digest, smallest identifier, bytes) of every text of a part; the bytes aren't copied."""
     least: dict[bytes, int] = {}
-    text: dict[bytes, bytes] = {}
-    for d, doc, b in zip(t["digest"].to_pylist(), t["doc_id"].to_pylist(), t["b"].to_pylist(), strict=True):
+    text: dict[bytes, memoryview] = {}
+    for d, doc, b in zip(t["digest"].to_pylist(), t["doc_id"].to_pylist(), t["b"], strict=True):
         least[d] = min(least.get(d, doc), doc)
-        if b is not None:
-            text.setdefault(d, b)
+        if b.is_valid and d not in text:
+            text[d] = memoryview(b.as_buffer())
     return [(d, least[d], text[d]) for d in sorted(least)]
 
 
@@ -404,15 +414,20 @@ def _cut_stretches(width: int, gram: int, shards: int, hot: int):
     return run
 
 
-def _intervals(part: np.ndarray, uid: np.ndarray, start: np.ndarray, width: int) -> pa.RecordBatch:
-    """Lost windows as byte runs: neighbouring starts of one text make one run."""
-    o = np.lexsort((start, uid, part))
-    part, uid, start = part[o], uid[o], start[o]
+def _intervals(part: np.ndarray, uid: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    """Byte runs ``first`` .. ``last`` (exclusive) of texts, joined where they touch or overlap."""
+    o = np.lexsort((first, uid, part))
+    part, uid, first, last = (x[o] for x in (part, uid, first, last))
+    other = np.ones(len(o), bool)
+    other[1:] = (part[1:] != part[:-1]) | (uid[1:] != uid[:-1])
+    # texts one behind another on one axis, so that a running maximum never reaches into the next text
+    far = (np.cumsum(other) - 1) * (int(last.max(initial=0)) + 2)
+    reach = np.maximum.accumulate(last + far)
     new = np.ones(len(o), bool)
-    new[1:] = (part[1:] != part[:-1]) | (uid[1:] != uid[:-1]) | (start[1:] > start[:-1] + width)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(o)) - 1 if len(o) else first
-    return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array(uid[first]), pa.array(start[first]), pa.array(start[last] + width)], ["part", "uid", "first", "last"])
+    new[1:] = other[1:] | ((first + far)[1:] > reach[:-1])
+    at = np.flatnonzero(new)
+    end = np.append(at[1:], len(o)) - 1 if len(o) else at
+    return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array(uid[at]), pa.array(first[at]), pa.array((reach - far)[end])], ["part", "uid", "first", "last"])
 
 
 @dataclass
@@ -445,23 +460,47 @@ class _Shard:
 
 
 def _judge_shard(width: int, chunk: int, most: int, shards: int):
-    """Lost windows of a shard, and the windows of anchors of over ``most`` documents that other shards may still beat."""
+    """Lost byte runs of a shard, and the windows of anchors of over ``most`` documents that other shards may still beat.
+
+    Anchors are judged in chunks of about ``chunk`` bytes of distinct stretches; all that a chunk leaves is a few numbers
+    for each run, and sorted arrays of the windows in doubt.
+    """
 
     @_trimmed
     def run(t: pa.Table) -> pa.Table:
         s = _Shard.of(t)
-        lost: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        held: list[tuple] = []
+        lost: list[tuple[np.ndarray, ...]] = []
+        doubt: list[tuple] = []  # shard of the merge, then blobs as in JUDGED
         edge = np.append(np.flatnonzero(np.append(True, s.anchor[1:] != s.anchor[:-1])), len(s.anchor))
         texts: list[bytes] = []  # distinct stretches of the chunk
         least: list[int] = []
         hot: list[bool] = []
         holders: list[list[int]] = []  # rows that have the stretch at its smallest document
 
-        def all_windows(rows: np.ndarray) -> None:
-            n = s.length[rows] - width + 1
-            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            lost.append((np.repeat(s.part[rows], n), np.repeat(s.uid[rows], n), np.repeat(s.start[rows], n) + inside))
+        def held_by(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """For each place of ``owner`` all rows that hold its stretch: the places, repeated, and the rows."""
+            n = np.array([len(h) for h in holders], np.int64)
+            rows = np.concatenate([np.asarray(h, np.int64) for h in holders])
+            many = n[owner]
+            place = np.repeat(np.arange(len(owner)), many)
+            return place, rows[np.repeat((np.cumsum(n) - n)[owner] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
+
+        def leave_in_doubt(owner: np.ndarray, local: np.ndarray, group: np.ndarray) -> None:
+            place, row = held_by(owner)
+            o = np.argsort(group[place], kind="stable")  # groups are numbered in the order of their windows
+            place, row = place[o], row[o]
+            whole = np.frombuffer(b"".join(texts), np.uint8)
+            begin = np.cumsum([0, *map(len, texts)])[:-1]
+            windows = whole[(begin[owner] + local)[place][:, None] + np.arange(width)]
+            mixed = np.zeros(len(windows), np.uint64)
+            for k in range(width):
+                mixed = (mixed ^ windows[:, k]) * np.uint64(MULT)
+            shard = (mixed >> np.uint64(20)) % np.uint64(shards)
+            start = s.start[row] + local[place]
+            for k in np.unique(shard).tolist():
+                mine = shard == k
+                numbers = (s.part[row[mine]], s.uid[row[mine]], s.doc_id[row[mine]], start[mine])
+                doubt.append((k, windows[mine].tobytes(), *(x.astype("<i8").tobytes() for x in numbers)))
 
         def flush() -> None:
             if texts:
@@ -471,16 +510,16 @@ def _judge_shard(width: int, chunk: int, most: int, shards: int):
                 np.minimum.at(best, group, low)
                 beaten = low > best[group]
                 mask = ~beaten & np.array(hot, bool)[owner]
-                for u, j in zip(owner[mask].tolist(), local[mask].tolist(), strict=True):
-                    for r in holders[u]:
-                        held.append((texts[u][j : j + width], int(s.part[r]), int(s.uid[r]), int(s.doc_id[r]), int(s.start[r]) + j))
+                if mask.any():
+                    leave_in_doubt(owner[mask], local[mask], group[mask])
+                # neighbouring lost windows of a stretch are one run before they are dealt to its holders
                 owner, local = owner[beaten], local[beaten]
-                n = np.array([len(h) for h in holders], np.int64)
-                rows = np.concatenate([np.asarray(h, np.int64) for h in holders])
-                many = n[owner]
-                pick = np.repeat((np.cumsum(n) - n)[owner], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                row = rows[pick]
-                lost.append((s.part[row], s.uid[row], s.start[row] + np.repeat(local, many)))
+                new = np.ones(len(owner), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (local[1:] != local[:-1] + 1)
+                at = np.flatnonzero(new)
+                end = local[np.append(at[1:], len(owner)) - 1] if len(owner) else local
+                place, row = held_by(owner[at])
+                lost.append((s.part[row], s.uid[row], s.start[row] + local[at][place], s.start[row] + end[place] + width))
             texts.clear(), least.clear(), hot.clear(), holders.clear()
 
         size = 0
@@ -493,8 +532,8 @@ def _judge_shard(width: int, chunk: int, most: int, shards: int):
                 if len(rows) > 1:
                     own = np.array(rows)
                     low = s.doc_id[own].min()
-                    if (own_lost := own[s.doc_id[own] > low]).size:
-                        all_windows(own_lost)
+                    if (gone := own[s.doc_id[own] > low]).size:
+                        lost.append((s.part[gone], s.uid[gone], s.start[gone], s.start[gone] + s.length[gone]))
                     rows = own[s.doc_id[own] == low].tolist()
                 if len(rows_of) > 1 or is_hot:
                     texts.append(text)
@@ -506,40 +545,51 @@ def _judge_shard(width: int, chunk: int, most: int, shards: int):
                 flush()
                 size = 0
         flush()
-        at: dict[int, list[tuple]] = {}
-        for h in held:
-            at.setdefault(zlib.crc32(h[0]) % shards, []).append(h)
-        part, uid, start = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*lost, strict=True)) if lost else [np.zeros(0, np.int64)] * 3
-        gone = _intervals(part, uid, start, width)
-        n, m = gone.num_rows, len(at)
+        gone = _intervals(*(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*lost, strict=True))) if lost else _intervals(*[np.zeros(0, np.int64)] * 4)
+        n, m = gone.num_rows, len(doubt)
         cols = [pa.concat_arrays([gone.column(k), pa.nulls(m, gone.column(k).type)]) for k in range(4)]
-        blobs = [[b"".join(x[0] for x in v) for v in at.values()], *([np.array([x[k] for x in v], "<i8").tobytes() for v in at.values()] for k in range(1, 5))]
-        cols += [pa.array([None] * n + list(at), pa.int32()), *(pa.array([None] * n + b, pa.binary()) for b in blobs)]
+        cols += [pa.array([None] * n + [d[0] for d in doubt], pa.int32()), *(pa.array([None] * n + [d[k] for d in doubt], pa.binary()) for k in range(1, 6))]
         return pa.table(cols, ["part", "uid", "first", "last", "shard", "windows", "parts", "uids", "doc_ids", "starts"])
 
     return run
 
 
+def merged_runs(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct windows with their smallest documents, of several such runs; two merge by finding one's places in the other."""
+    while len(runs) > 1:
+        rounds = []
+        for (a, x), (b, y) in zip(runs[::2], runs[1::2], strict=False):
+            at = np.searchsorted(a, b)
+            same = np.zeros(len(b), bool)
+            inside = at < len(a)
+            same[inside] = a[at[inside]] == b[inside]
+            x = x.copy()
+            x[at[same]] = np.minimum(x[at[same]], y[same])
+            rounds.append((np.insert(a, at[~same], b[~same]), np.insert(x, at[~same], y[~same])))
+        runs = rounds + ([runs[-1]] if len(runs) % 2 else [])
+    return runs[0]
+
+
 def _merge_doubt(width: int):
-    """Sorted runs of windows in doubt: each is looked up among the distinct windows by binary search; only the smallest document keeps it."""
+    """Sorted runs of windows in doubt are merged, then each is looked up in the result; only the smallest document keeps a window."""
+
+    def keys(blob: bytes) -> np.ndarray:
+        # a byte behind each window, for numpy's strings leave out zeros at the end
+        rows = np.frombuffer(blob, np.uint8).reshape(-1, width)
+        return np.ascontiguousarray(np.pad(rows, ((0, 0), (0, 1)), constant_values=1)).view(f"S{width + 1}").ravel()
 
     @_trimmed
     def run(t: pa.Table) -> pa.Table:
-        runs = [np.frombuffer(x, np.uint8).reshape(-1, width) for x in t["windows"].to_pylist()]
-        part, uid, doc, start = (np.concatenate([np.frombuffer(x, "<i8") for x in t[c].to_pylist()]) for c in ("parts", "uids", "doc_ids", "starts"))
-        whole = np.concatenate(runs)
-        # big-endian words order like the bytes they hold
-        padded = np.zeros((len(whole), -(-width // 8) * 8), np.uint8)
-        padded[:, :width] = whole
-        words = padded.view(">u8").astype(np.uint64)
-        o = np.lexsort(words.T[::-1])
-        new = np.ones(len(o), bool)
-        new[1:] = (words[o][1:] != words[o][:-1]).any(axis=1)
-        at = np.flatnonzero(new)
-        least = np.minimum.reduceat(doc[o], at)
-        group = np.searchsorted(at, np.arange(len(o)), side="right") - 1
-        beaten = o[doc[o] > least[group]]
-        return pa.Table.from_batches([_intervals(part[beaten], uid[beaten], start[beaten], width)])
+        runs = [keys(x) for x in t["windows"].to_pylist()]
+        numbers = [[np.frombuffer(x, "<i8") for x in t[c].to_pylist()] for c in ("parts", "uids", "doc_ids", "starts")]
+        distinct = []
+        for w, doc in zip(runs, numbers[2], strict=True):
+            at = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            distinct.append((w[at], np.minimum.reduceat(doc, at)))
+        windows, least = merged_runs(distinct)
+        beaten = np.concatenate([doc > least[np.searchsorted(windows, w)] for w, doc in zip(runs, numbers[2], strict=True)])
+        part, uid, _, start = (np.concatenate(x)[beaten] for x in numbers)
+        return pa.Table.from_batches([_intervals(part, uid, start, start + width)])
 
     return run
 
@@ -571,8 +621,10 @@ def _without(width: int):
     return run
 
 
-#: Parts of the corpus per shuffle partition: a part's texts are in memory together.
-PARTS = 4
+#: Bytes of text in a part, which is what a task holds at once; there are PARTS parts per shuffle partition at least.
+PART_BYTES, PARTS = 4 << 20, 4
+#: At most so many texts are told to all tasks as known to have very many copies.
+NAMED = 50_000
 #: Identifier that null stands for inside: it comes after all others.
 LAST = (1 << 63) - 1
 
@@ -581,23 +633,31 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, chunk: int
     """Every row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are taken as UTF-8, null as empty. Bytes go that lie in a string of ``width`` bytes which also starts in a
-    document with a smaller identifier; overlaps count, strings are judged on the input. Null identifiers come after
-    all others. Rows that repeat an identifier don't remove from each other; all rows are returned. Texts shorter than
-    ``width`` lose nothing; an empty table gives no rows; other columns are ignored. ``chunk`` bounds the bytes of one
-    suffix array; anchors of more than ``hot`` documents are dealt to several shards.
+    document with a smaller identifier; overlaps count, strings are judged on the input. Identifiers are integers; null
+    ones come after all others. Rows that repeat an identifier don't remove from each other; all rows are returned.
+    Texts shorter than ``width`` lose nothing; an empty table gives no rows; other columns are ignored. ``chunk`` bounds
+    the bytes of one suffix array; anchors of more than ``hot`` documents are dealt to several shards.
     """
     spark = docs.sparkSession
     n = parts(spark)
     source = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("doc_id"), docs[text_col].cast("string").cast("binary").alias("b"))
-    texts = stored(source.mapInArrow(_local_firsts(PARTS * n), RAW).repartition(n, "part"), n, "part")
-    runs = texts.groupBy("part").applyInArrow(_anchor_runs(width, gram, n), RUN)
-    shared = runs.groupBy("slice").applyInArrow(_shared_anchors, RUN)
-    cut = texts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_cut_stretches(width, gram, n, hot), STRETCH)
-    judged = durable(cut.groupBy("shard").applyInArrow(_judge_shard(width, chunk, hot, n), JUDGED))
-    merged = judged.where("shard is not null").groupBy("shard").applyInArrow(_merge_doubt(width), GONE)
-    gone = judged.where("shard is null").select("part", "uid", "first", "last").unionByName(merged)
-    done = durable(texts.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(_without(width), DONE))
-    rows = source.select("doc_id", F.unhex(F.sha2(F.coalesce("b", F.lit(b"")), 256)).alias("digest"))
+    b = F.coalesce("b", F.lit(b""))
+    rows = durable(source.select("doc_id", F.unhex(F.sha2(b, 256)).alias("digest"), F.octet_length(b).alias("size")))
+    many, size = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    # of all rows at most NAMED groups are larger than this
+    often = max(64, -(-many // NAMED))
+    groups = rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).where(F.col("copies") > often)
+    known = {bytes(r["digest"]): r["first"] for r in groups.collect()}
+    cuts = max(PARTS * n, -(-size // PART_BYTES))
+    shards = max(n, cuts // PARTS)
+    with stored(source.mapInArrow(_local_firsts(cuts, known), RAW).repartition(n, "part"), n, "part") as texts:
+        runs = texts.groupBy("part").applyInArrow(_anchor_runs(width, gram, shards), RUN)
+        shared = runs.groupBy("slice").applyInArrow(_shared_anchors, RUN)
+        cut = texts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_cut_stretches(width, gram, shards, hot), STRETCH)
+        judged = durable(cut.groupBy("shard").applyInArrow(_judge_shard(width, chunk, hot, shards), JUDGED))
+        merged = judged.where("shard is not null").groupBy("shard").applyInArrow(_merge_doubt(width), GONE)
+        gone = judged.where("shard is null").select("part", "uid", "first", "last").unionByName(merged)
+        done = durable(texts.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(_without(width), DONE))
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= width)
     return rows.join(done, "digest").select(
         F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"),
