@@ -1,11 +1,13 @@
 """SimHash near-duplicates: a byte-position inverted index with count filtering.
 
 Fingerprints of 64 bits that differ in at most two bits share at least six of their eight positional bytes: that is
-the count a pair must reach. Tallying single bytes would list every pair that shares one, so postings are kept per set
-of six positions instead: a pair's tally reaches six exactly if it meets in one of the 28 postings (position set, six
-byte values). A posting then holds at most 65,536 fingerprints that differ in two bytes only; pairs in it are verified
-by counting differing bits, in large postings by flipping one or two of the sixteen free bits and looking the result
-up, so that no posting ever lists all its pairs.
+the count a pair must reach. The index lists fingerprints under (position, byte). Such postings hold one in 256 of all
+fingerprints each, so they are cut down by further positions: as only two of eight bytes may differ, the first four
+that a pair shares are among its first six positions, and a posting of four of these (15 a fingerprint) holds every
+pair that counts. In a posting the shared positional bytes of each pair are tallied; pairs that share six or more are
+retained and verified by their bits. Postings that are too large to list their pairs are cut down by two positions
+more, again as count filtering allows. These hold at most 65,536 fingerprints that differ in two bytes only, and are
+searched by flipping one or two of the sixteen free bits and looking the result up.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from .common import components, durable, parts, row_tag
 from .resemblance import may_be_among, resembling
 
 BYTES, SHARED, BITS = 8, 6, 2
-#: Above this many members a posting is searched by flipping bits.
+#: Shared positions that a posting fixes at first, and in the second round.
+FIXED, REFINED = 4, 6
+#: Postings above this many members don't list pairs.
 LARGE = 32
 
 
@@ -59,17 +63,24 @@ def fingerprint_udf(text: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in text], np.uint64).view(np.int64))
 
 
-def masks() -> list[int]:
-    """For each set of six byte positions, the 64-bit mask that keeps them, as a signed number."""
-    out = []
-    for kept in combinations(range(BYTES), SHARED):
-        m = sum(0xFF << (8 * p) for p in kept)
-        out.append(m - (1 << 64) if m >= 1 << 63 else m)
-    return out
+def _mask(positions: tuple[int, ...]) -> int:
+    """The 64-bit mask of some byte positions, as a signed number."""
+    m = sum(0xFF << (8 * p) for p in positions)
+    return m - (1 << 64) if m >= 1 << 63 else m
+
+
+def masks(fixed: int, given: tuple[int, ...] = ()) -> list[int]:
+    """Masks of ``fixed`` byte positions, ``given`` ones among them, one of which any pair that reaches the count shares.
+
+    Of the positions that aren't given a pair lacks at most BYTES - SHARED, so its first shared ones lie at the front.
+    """
+    rest = [p for p in range(BYTES) if p not in given]
+    more = fixed - len(given)
+    return [_mask((*given, *x)) for x in combinations(rest[: more + BYTES - SHARED], more)]
 
 
 def _free_bits(mask: int) -> np.ndarray:
-    return np.array([1 << b for b in range(64) if not (mask >> b) & 1], np.uint64)
+    return np.array([1 << b for b in range(64) if not mask >> b & 1], np.uint64)
 
 
 def _large(fps: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,18 +107,22 @@ def _large(fps: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
     return fps[at], fps[root[at]]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified links of postings that come sorted by (kept, values, fp); a posting may span batches."""
-    all_masks = masks()
-    held = None
+def _links(refined: bool):
+    """Of postings that come sorted by (mask, values), with columns mask, values, fp: verified links (a, b).
+
+    In the first round large postings give their members instead (a, mask), as they come; ``refined`` ones are searched.
+    """
+
+    def rows(a: np.ndarray, b: np.ndarray | None = None, mask: np.ndarray | None = None) -> pa.RecordBatch:
+        columns = [pa.nulls(len(a), pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (a, b, mask)]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "mask"])
 
-    def of(kept: np.ndarray, values: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def of(mask: np.ndarray, values: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(fp), bool)
-        new[1:] = (kept[1:] != kept[:-1]) | (values[1:] != values[:-1])
+        new[1:] = (mask[1:] != mask[:-1]) | (values[1:] != values[:-1])
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(fp)))
         run, length = np.cumsum(new) - 1, np.repeat(size, size)
-        a, b = [], []
         small = np.flatnonzero((length > 1) & (length <= LARGE))
         for s in range(1, int(min(LARGE, length.max(initial=1)))):
             i = small[small + s < len(fp)]
@@ -115,44 +130,65 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(i):
                 break
             diff = fp[i] ^ fp[i + s]
-            # the tally: positions whose bytes agree
-            tally = (np.ascontiguousarray(diff).view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
-            i = i[(tally >= SHARED) & (np.bitwise_count(diff) <= BITS)]
-            a.append(fp[i + s])
-            b.append(fp[i])
-        for g in np.flatnonzero(size > LARGE):
-            x, y = _large(np.sort(fp[at[g] : at[g] + size[g]]), all_masks[kept[at[g]]])
-            a.append(x)
-            b.append(y)
-        if a and (total := np.concatenate(a)).size:
-            yield pa.RecordBatch.from_arrays([pa.array(total.view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], ["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
+            tally = (diff.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
+            i, diff = i[tally >= SHARED], diff[tally >= SHARED]
+            i = i[np.bitwise_count(diff) <= BITS]
+            if len(i):
+                yield rows(fp[i + s], fp[i])
+        if not refined and (large := length > LARGE).any():
+            yield rows(fp[large], None, mask[large])
+        for g in np.flatnonzero(size > LARGE) if refined else ():
+            x, y = _large(np.unique(fp[at[g] : at[g] + size[g]]), int(mask[at[g]]))
+            if len(x):
+                yield rows(x, y)
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy() for c in batch.columns]
+            cols[2] = cols[2].view(np.uint64)
+            if large is not None:
+                # more members of the posting that has proved to be large
+                n = int(np.argmin(np.append((cols[0] == large[0]) & (cols[1] == large[1]), False)))
+                if n:
+                    yield rows(cols[2][:n], None, cols[0][:n])
+                    cols = [x[n:] for x in cols]
+                if not len(cols[0]):
+                    continue
+                large = None
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            # what may go on in the next batch waits
+            other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+            upto = int(other[-1]) + 1 if len(other) else 0
+            held = [x[upto:] for x in cols]
+            if upto:
+                yield from of(*(x[:upto] for x in cols))
+            if not refined and len(held[0]) > LARGE:
+                yield rows(held[2], None, held[0])
+                large, held = (held[0][0], held[1][0]), None
         if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        # what may go on in the next batch waits
-        upto = int(np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))[-1:].sum() + 1) if (cols[0][0] != cols[0][-1] or cols[1][0] != cols[1][-1]) else 0
-        held = [x[upto:] for x in cols]
-        if upto:
-            yield from of(*(x[:upto] for x in cols))
-    if held is not None:
-        yield from of(*held)
+            yield from of(*held)
+
+    return all_of
 
 
 def linked(fps: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints ``fps(fp)`` at two or fewer differing bits, enough to connect each component."""
     width = parts(fps.sparkSession)
-    postings = F.array(*[F.struct(F.lit(k).cast("short").alias("kept"), F.col("fp").bitwiseAND(F.lit(m)).alias("values")) for k, m in enumerate(masks())])
-    return (
-        fps.withColumn("p", F.explode(postings))
-        .select("p.kept", "p.values", "fp")
-        .repartition(width, "kept", "values")
-        .sortWithinPartitions("kept", "values")
-        .mapInArrow(_links, "a long, b long")
-    )
+
+    def searched(entries: DataFrame, refined: bool) -> DataFrame:
+        values = F.col("fp").bitwiseAND(F.col("mask"))
+        dealt = entries.select("mask", values.alias("values"), "fp").repartition(width, "mask", "values").sortWithinPartitions("mask", "values")
+        return dealt.mapInArrow(_links(refined), "a long, b long, mask long")
+
+    first = {m: tuple(p for p in range(BYTES) if m >> (8 * p) & 1) for m in masks(FIXED)}
+    found = durable(searched(fps.select("fp", F.explode(F.array(*map(F.lit, first))).alias("mask")), False))
+    finer = F.coalesce(*[F.when(F.col("mask") == m, F.array(*map(F.lit, masks(REFINED, given)))) for m, given in first.items()])
+    members = found.where("b is null").select(F.col("a").alias("fp"), F.explode(finer).alias("mask")).distinct()
+    return found.where("b is not null").select("a", "b").unionByName(searched(members, True).select("a", "b"))
 
 
 def _rooted(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
