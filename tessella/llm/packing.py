@@ -1,11 +1,11 @@
 """Packing token streams into windows by Karmarkar-Karp multiway differencing.
 
 A document's ids are cut into full windows, which need no partner, and a remainder in pieces of at most ``grain`` ids.
-Pieces are gathered into blocks that fill a number of windows almost to the brim. Within a block every piece starts as
-a partial partition with one filled window; the two partial partitions with the largest imbalance merge, the fullest
-windows of one on the emptiest of the other, until one partition is left, whose windows are then nearly equal. What
-still stands over the capacity is cut off and fills windows with room; if all of them together can't hold the block,
-it gets one window more. Where pieces mustn't be cut (``pack``), the window count rises as soon as one is too full.
+Pieces are gathered into blocks that fill a number of windows almost to the brim; the last few ids of a block are cut
+into small pieces, with which differencing can level its windows. Within a block every piece starts as a partial
+partition with one filled window; the two partial partitions with the largest imbalance merge, the fullest windows of
+one on the emptiest of the other, until one partition is left, whose windows are then nearly equal. If one of them
+exceeds the capacity, the block gets one window more and is partitioned again.
 
 Everything happens inside the input's partitions: no shuffle, no collecting, one block in memory at a time.
 """
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -77,37 +77,8 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
-def level(windows: list[list[tuple[int, int, int]]], capacity: int) -> None:
-    """Cuts what stands over ``capacity`` off windows of (piece, start, length) and fills it into those with room."""
-    filled = [sum(p[2] for p in w) for w in windows]
-    spare = [i for i in range(len(windows)) if filled[i] < capacity]
-    for i, w in enumerate(windows):
-        while filled[i] > capacity:
-            longest = max(range(len(w)), key=lambda k: w[k][2])
-            piece, start, length = w[longest]
-            to = spare[-1]
-            moved = min(filled[i] - capacity, length, capacity - filled[to])
-            windows[to].append((piece, start + length - moved, moved))
-            filled[to] += moved
-            filled[i] -= moved
-            if filled[to] == capacity:
-                spare.pop()
-            if moved == length:
-                w.pop(longest)
-            else:
-                w[longest] = (piece, start, length - moved)
-
-
-def cuts(n: int, capacity: int, grain: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: full windows, then a remainder in near-equal pieces of at most ``grain``."""
-    full = n // capacity * capacity
-    out = [(i, capacity) for i in range(0, full, capacity)]
-    rest = n - full
-    if rest:
-        k = -(-rest // grain)
-        edges = [full + rest * i // k for i in range(k + 1)]
-        out += [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-    return out
+#: Sizes in turn of the pieces that the end of a block is cut into.
+LADDER = (32, 16, 8, 4, 2, 1)
 
 
 class Encoder:
@@ -186,14 +157,16 @@ class _Memo(dict):
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0, grain: int = 512, windows: int = 64, margin: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0, grain: int = 512, windows: int = 64, margin: int = 2, fine: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A row's ids are those of its text (null is the empty text), then ``end_id``; each id lies in exactly one piece.
-    Windows hold ``capacity`` ids at most. Blocks aim at ``windows`` windows less ``margin`` ids each; the last block
-    of a partition has fewer. Repeated rows are packed each on their own, null identifiers stay null, an empty table
-    gives no rows, other columns are ignored. sequence_id is the partition's number times 2^40 plus a running number.
+    Windows hold ``capacity`` ids at most. Blocks aim at ``windows`` windows less ``margin`` ids each, ``fine`` ids a
+    window being cut small; the last block of a partition is smaller. Repeated rows are packed each on their own,
+    identifiers keep their type and null ones stay null, an empty table gives no rows, other columns are ignored.
+    sequence_id is the partition's number times 2^40 plus a running number.
     """
+    thin = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -204,46 +177,47 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_i
         rows: list[tuple] = []
         block: list[tuple] = []
         filled, room = 0, windows * (capacity - margin)
+        coarse = room - windows * fine
 
         def flush() -> None:
             nonlocal sequence, filled
-            sets = differencing([len(p[2]) // 4 for p in block], max(1, -(-filled // capacity)))
-            packed = [[(i, 0, len(block[i][2]) // 4) for i in sorted(x)] for x in sets]
-            level(packed, capacity)
-            for window in packed:
+            for window in pack([len(p[2]) // 4 for p in block], capacity):
                 offset = 0
-                for i, at, length in window:
+                for i in sorted(window):
                     doc, start, ids, n = block[i]
-                    rows.append((doc, start + at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), n, sequence, offset))
-                    offset += length
+                    rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), n, sequence, offset))
+                    offset += len(ids) // 4
                 sequence += 1
             block.clear()
             filled = 0
 
-        def out() -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [()] * 7
+        def out(kind: pa.DataType) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True))
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else kind) for k, c in enumerate(cols)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
+        kind = None
         for b in batches:
+            kind = b.schema.field(0).type
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = encode(text.as_py() or "") + end
                 n = len(ids) // 4
-                for start, length in cuts(n, capacity, grain):
-                    piece = ids[4 * start : 4 * (start + length)]
-                    if length == capacity:
-                        rows.append((doc, start, length, zlib.crc32(piece), n, sequence, 0))
-                        sequence += 1
-                        continue
-                    if filled + length > room:
-                        flush()
-                    block.append((doc, start, piece, n))
+                at = n // capacity * capacity
+                for start in range(0, at, capacity):
+                    rows.append((doc, start, capacity, zlib.crc32(ids[4 * start : 4 * (start + capacity)]), n, sequence, 0))
+                    sequence += 1
+                while at < n:
+                    length = min(n - at, grain, coarse - filled) if filled < coarse else min(n - at, LADDER[len(block) % len(LADDER)], room - filled)
+                    block.append((doc, at, ids[4 * at : 4 * (at + length)], n))
                     filled += length
+                    at += length
+                    if filled == room:
+                        flush()
                 if len(rows) > 20_000:
-                    yield out()
+                    yield out(kind)
         if block:
             flush()
         if rows:
-            yield out()
+            yield out(kind)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)
+    return thin.mapInArrow(run, f"doc_id {thin.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
