@@ -10,41 +10,51 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from .common import durable, parts, row_tag
 
+WORDS = r"[^\x20\x09-\x0D]+"
 
-@F.pandas_udf(LongType())
-def word_count(text: pd.Series) -> pd.Series:
-    """Words are runs of bytes other than ASCII white space, which bytes.split() gives."""
-    return text.map(lambda t: len(t.encode("utf-8", "surrogatepass").split()) if t is not None else 0).astype("int64")
+
+def word_count(text: Column) -> Column:
+    """Runs of characters other than ASCII white space; null has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+
+
+def in_order(rows: DataFrame, key: str) -> DataFrame:
+    """Adds ``at``: the place of the distinct ``key`` among all, from 0, null last. Range partitions and their counts; no task gets all rows."""
+    order = F.col(key).asc_nulls_last()
+    dealt = durable(rows.repartitionByRange(parts(rows.sparkSession), order).withColumn("slice", F.spark_partition_id()))
+    # as many rows as there are slices
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("slice").count().select("slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("slice").orderBy(order)) - 1
+    return dealt.withColumn("at", inside).join(offsets, "slice").withColumn("at", F.col("at") + F.col("offset")).drop("slice", "offset")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """One row per source: source, source_size, weight, target.
 
     Sources in code-point order, null last, take ``weights`` in turn and share all words by weight; a target stops at
-    ``most`` times its source's size and the excess is shared again by weight until none is above. In closed form a
-    source is capped iff cap / weight is below the water level that the rest then has.
+    ``most`` times its source's size and the excess is shared again by weight until none is above. The water level of
+    those below their caps rises from round to round, each one sum over the sources, until no more of them are capped.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    weighted = by_source.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
-    capped = weighted.withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    filled = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(filled), F.lit(0.0))) / (
-        F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(filled), F.lit(0.0))
-    )
-    levels = capped.withColumn("level", level).withColumn("rank", F.row_number().over(by_ratio))
-    # the level at the first source that isn't capped holds for all after it, those that tie with it too
-    settled = F.coalesce(F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct("rank", "level"))).over(whole)["level"], F.lit(float("inf")))
-    return levels.select("source", "source_size", "weight", F.least("cap", settled * F.col("weight")).alias("target"))
+    by_source = in_order(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "source")
+    turn = F.array(*[F.lit(float(w)) for w in weights])
+    cap = F.col("source_size") * F.lit(float(most))
+    weighted = durable(by_source.select("source", "source_size", F.element_at(turn, (F.col("at") % len(weights) + 1).cast("int")).alias("weight"), cap.alias("cap")))
+    level, capped = 0.0, -1
+    while True:
+        over = F.col("cap") < F.lit(level) * F.col("weight") if capped >= 0 else F.lit(False)
+        n, size, spent, open_weight = weighted.agg(
+            F.count(F.when(over, 1)), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))
+        ).first()
+        if n == capped:
+            break
+        capped, level = n, (size - spent) / open_weight if open_weight else float("inf")
+    return weighted.select("source", "source_size", "weight", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def linear_curriculum(targets: DataFrame, tilt: float = 0.5) -> DataFrame:
@@ -52,16 +62,13 @@ def linear_curriculum(targets: DataFrame, tilt: float = 0.5) -> DataFrame:
 
     The tilts of all sources, weighted by their targets, cancel out, so that weights sum to one at every time.
     """
-    whole = Window.partitionBy()
-    share = F.col("target") / F.sum("target").over(whole)
-    heavy = (F.col("weight") >= F.max("weight").over(whole)).cast("double")
-    lean = targets.withColumn("share", F.coalesce(F.try_divide(F.col("target"), F.sum("target").over(whole)), F.lit(0.0))).withColumn("heavy", heavy)
-    slope = F.lit(tilt) * (F.col("heavy") - F.sum(F.col("heavy") * F.col("share")).over(whole))
-    ends = F.array(
-        F.struct(F.lit(0.0).alias("t"), (F.col("share") * (1 + slope)).alias("w")),
-        F.struct(F.lit(1.0).alias("t"), (F.col("share") * (1 - slope)).alias("w")),
-    )
-    return lean.withColumn("knots", ends).drop("share", "heavy")
+    whole, top = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.max("weight")).first()
+    heavy = (F.col("weight") >= F.lit(top)).cast("double")
+    at_top = targets.agg(F.coalesce(F.sum(heavy * F.col("target")), F.lit(0.0))).first()[0]
+    share = F.col("target") / F.lit(whole) if whole else F.lit(0.0)
+    slope = F.lit(tilt) * (heavy - F.lit(at_top / whole if whole else 0.0))
+    ends = F.array(F.struct(F.lit(0.0).alias("t"), (share * (1 + slope)).alias("w")), F.struct(F.lit(1.0).alias("t"), (share * (1 - slope)).alias("w")))
+    return targets.withColumn("knots", ends)
 
 
 def demand(knots: Column) -> Column:
@@ -91,18 +98,20 @@ def _dealt(docs: DataFrame, weights: tuple[int, ...], most: float, tilt: float,
     """The rows of ``mix`` without positions, and the training time of a row's copy ``p`` (from 0) as a column."""
     spark = docs.sparkSession
     buckets = max(1024, 8 * parts(spark))
-    order = F.xxhash64(docs[id_col], F.lit(seed))
-    sizes = durable(
-        docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), row_tag(docs[id_col], docs[text_col]).alias("tag"), order.alias("h"), F.pmod(order, F.lit(buckets)).cast("int").alias("bucket"))
-    )
-    totals = linear_curriculum(source_targets(sizes, weights, most), tilt)
-    per_bucket = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    keys = ["source", "doc_id", "size", "tag"]
+    thin = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), row_tag(docs[id_col], docs[text_col]).alias("tag"))
+    # rows that repeat all of this stand side by side, so that they are one row until the end
+    order = F.xxhash64("tag", F.lit(seed))
+    sizes = durable(thin.groupBy(*keys).agg(F.count("*").alias("same")).select("*", (F.col("size") * F.col("same")).alias("all_size"), order.alias("h"), F.pmod(order, F.lit(buckets)).cast("int").alias("bucket")))
+    totals = linear_curriculum(durable(source_targets(sizes.select("source", F.col("all_size").alias("size")), weights, most)), tilt)
+    per_bucket = sizes.groupBy("source", "bucket").agg(F.sum("all_size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_bucket.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     plan = starts.alias("s").join(totals.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "s.bucket", "offset", "source_size", "target", "knots", demand(F.col("knots")).alias("filled"))
     inside = Window.partitionBy("source", "bucket").orderBy("h", F.col("doc_id").asc_nulls_last(), "size", "tag").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("size").over(inside), F.lit(0))
-    rows = sizes.withColumn("start", start).alias("d").join(plan.alias("p"), (F.col("d.bucket") == F.col("p.bucket")) & F.col("d.source").eqNullSafe(F.col("p.source")))
+    ahead = sizes.withColumn("ahead", F.coalesce(F.sum("all_size").over(inside), F.lit(0)))
+    one_each = ahead.withColumn("start", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("same")), lambda k: F.col("ahead") + (k - 1) * F.col("size"))))
+    rows = one_each.alias("d").join(plan.alias("p"), (F.col("d.bucket") == F.col("p.bucket")) & F.col("d.source").eqNullSafe(F.col("p.source")))
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     # a hair above a whole number of passes is rounding, not demand
     full = F.floor(ratio + 1e-9)
@@ -118,26 +127,21 @@ def _dealt(docs: DataFrame, weights: tuple[int, ...], most: float, tilt: float,
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, tilt: float = 0.5, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Every row: doc_id, source, size, source_size, target, copies, taken, position.
+    """Every row: doc_id, source, size, source_size, target, copies, taken, positions.
 
     ``copies`` is how often the mix takes the document (whole passes over its source, then one more for the documents
-    whose middle lies in what is left), ``taken`` the words of all copies, ``position`` the training time of the first
-    copy (null if none); ``mixed_rows`` places the others. Null text and null source are legal: size 0, and a source of
-    their own that comes last. The order inside a source hashes doc_id, so reruns agree; rows that repeat doc_id and
-    text are interchangeable. An empty table gives no rows. Running totals are two-level (hash buckets, then rows), so a
-    hot source is spread over all tasks; the table of targets has one row per source.
+    whose middle lies in what is left), ``taken`` the words of all copies, ``positions`` the training time of every
+    copy. Rows are range-sorted by the first of these, documents that aren't taken first. Null text and null source are
+    legal: size 0, and a source of their own that comes last. The order inside a source hashes doc_id and text, so
+    reruns agree; rows that repeat both are interchangeable. An empty table gives no rows. Running totals are two-level
+    (hash buckets, then rows), so a hot source or identifier is spread over all tasks; what reaches the driver are sums.
     """
     rows, when = _dealt(docs, weights, most, tilt, seed, id_col, text_col, source_col)
-    return rows.select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        "copies",
-        (F.col("size") * F.col("copies")).cast("long").alias("taken"),
-        F.when(F.col("copies") > 0, when(F.lit(0))).alias("position"),
-    )
+    passes = F.filter(F.sequence(F.lit(0), F.greatest(F.col("copies") - 1, F.lit(0))), lambda p: p < F.col("copies"))
+    taken = (F.col("size") * F.col("copies")).cast("long")
+    out = durable(rows.select("doc_id", "source", "size", "source_size", "target", "copies", taken.alias("taken"), F.transform(passes, when).alias("positions")))
+    first = F.try_element_at("positions", F.lit(1))
+    return out.repartitionByRange(parts(docs.sparkSession), first, "doc_id").sortWithinPartitions(first, "doc_id")
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, tilt: float = 0.5, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

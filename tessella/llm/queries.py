@@ -23,7 +23,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "positions")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
