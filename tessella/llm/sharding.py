@@ -1,6 +1,6 @@
 """Reproducible shuffle into shards: a Feistel permutation with cycle walking over global row numbers.
 
-All of it is DataFrame functions. Rows get dense global numbers from two-level counts (hash buckets of the identifier,
+All of it is DataFrame functions. Rows get dense global numbers from two-level counts (hash buckets of the row,
 then the order inside a bucket), a keyed Feistel network permutes the numbers, and shard and slot follow by arithmetic.
 The network mixes Z_a x Z_b with a * b just above the row count, so walking out of the surplus takes a step or two.
 """
@@ -60,21 +60,23 @@ def permuted(x: Column, n: int, seed: int, steps: int = 64) -> Column:
     return F.when(y < n, y).otherwise(F.raise_error(F.lit("cycle walk too long")).cast("long"))
 
 
-def numbered(rows: DataFrame, key: str, ties: list[str]) -> tuple[DataFrame, int]:
-    """Adds ``row_no``, dense from 0 and fixed by the values of ``key`` and ``ties`` alone, and gives the row count.
+def numbered(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """Adds ``row_no``, dense from 0 and fixed by the values of ``keys``, all columns of ``rows``, alone, and gives the row count.
 
-    Buckets are hashes of the key; a table of bucket counts, of a size fixed by the shuffle width, carries the offsets.
-    Rows that repeat key and ties are interchangeable.
+    Buckets are hashes of the keys; a table of bucket counts, of a size fixed by the shuffle width, carries the offsets.
+    Rows that repeat all keys are interchangeable; they are counted as one and spread out at the end.
     """
     spark = rows.sparkSession
     buckets = 16 * parts(spark)
-    rows = durable(rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+    unique = durable(rows.groupBy(*keys).agg(F.count("*").alias("same")).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+    counts = unique.groupBy("bucket").agg(F.sum("same").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("bucket").orderBy(F.col(key).asc_nulls_last(), *ties)
-    out = rows.join(offsets, "bucket").withColumn("row_no", F.col("offset") + F.row_number().over(inside) - 1)
-    return out.drop("bucket", "offset"), rows.count()
+    inside = Window.partitionBy("bucket").orderBy(*[F.col(k).asc_nulls_last() for k in keys]).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("offset") + F.coalesce(F.sum("same").over(inside), F.lit(0))
+    placed = unique.join(offsets, "bucket").withColumn("first", first)
+    out = placed.withColumn("row_no", F.explode(F.sequence("first", F.col("first") + F.col("same") - 1)))
+    return out.select(*keys, "row_no"), int(unique.agg(F.coalesce(F.sum("same"), F.lit(0))).first()[0])
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20_011, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,7 +88,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20_011, id_co
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     thin = docs.select(docs[id_col].alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows, n = numbered(thin, "doc_id", ["text_crc32", "size"])
+    rows, n = numbered(thin, ["doc_id", "text_crc32", "size"])
     at = permuted(F.col("row_no"), n, seed)
     return rows.withColumn("at", at).select(
         "doc_id",
