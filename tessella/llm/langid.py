@@ -15,11 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import crc32_text
+from .common import crc32_text, durable, smallest_hashes
 
 SIZES, SLOTS, SCALE = (1, 2, 3), 1 << 15, 50.0
 #: Odd multipliers of the n-gram hash, one for each place in an n-gram.
@@ -64,10 +64,12 @@ def text_counts(text: str | None) -> np.ndarray:
     return np.bincount(np.concatenate(slots), minlength=SLOTS)
 
 
-def text_vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of a text and their shares."""
+def text_vector(text: str | None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of a text and their shares; of all of them, or of the ``most`` frequent."""
     counts = text_counts(text)
     at = np.flatnonzero(counts)
+    if most is not None and len(at) > most:
+        at = np.sort(at[np.argsort(-counts[at], kind="stable")[:most]])
     return at, counts[at] / max(counts.sum(), 1)
 
 
@@ -140,42 +142,43 @@ def fit(vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list
     return model
 
 
-def train(docs: DataFrame, per_lang: int = 400, most_langs: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def train(docs: DataFrame, per_lang: int = 400, sample: int = 8000, most_slots: int = 4096, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Learns from rows with a language whose crc32(doc_id) mod 3 isn't 1; None if there are none.
 
-    Document frequencies cover all of those rows. Weights are fitted on at most ``per_lang`` of them for each of the
-    ``most_langs`` most frequent languages, those with the smallest hash of doc_id: the documented bound of the sample.
+    Document frequencies cover all of those rows. Weights are fitted on at most ``per_lang`` of them for each language,
+    fewer where there are more than ``sample`` / ``per_lang`` languages (but one at least), those with the smallest hash
+    of doc_id, and on the ``most_slots`` most frequent n-grams of each: the documented bounds of the sample.
     """
-    key = docs[id_col]
-    known = docs.select(key.alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
+    known = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
     known = known.where(F.col("lang").isNotNull() & (crc32_text(F.col("doc_id")) % 3 != 1))
-    ids = known.select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id", F.lit(3)))
-    ids = ids.where(F.col("doc_id").isNotNull()).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_lang)
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select("lang")
-    chosen = ids.join(common, "lang").select("doc_id").distinct()
-    # at most per_lang * most_langs identifiers
+    ids = durable(known.where("doc_id is not null").groupBy("lang", "doc_id").count().select("lang", "doc_id", F.xxhash64("doc_id", F.lit(3)).alias("h")))
+    sizes = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return None
+    each = max(1, min(per_lang, sample // len(sizes)))
+    chosen = smallest_hashes(ids, "h", sizes, each, "lang").select("doc_id").distinct()
+    # little more than ``each`` identifiers a language
     rows = known.join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [text_vector(t.as_py()) for t in b.column("text")]
+            got = [text_vector(t.as_py(), most_slots) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("lang"), pa.array([s.astype("<u2").tobytes() for s, _ in got], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary())],
-                ["doc_id", "lang", "slots", "shares"],
+                [b.column("h"), b.column("lang"), pa.array([s.astype("<u2").tobytes() for s, _ in got], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary())],
+                ["h", "lang", "slots", "shares"],
             )
 
-    sample = rows.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(run, "doc_id long, lang string, slots binary, shares binary").toPandas()
-    if sample.empty:
-        return None
-    sample = sample.sort_values(["doc_id", "lang"], kind="stable").groupby("lang").head(per_lang).reset_index(drop=True)
-    langs = sorted(sample["lang"].unique())
-    vectors = [(np.frombuffer(s, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64)) for s, v in zip(sample["slots"], sample["shares"], strict=True)]
-    return fit(vectors, sample["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(), langs, document_frequency(known.select("text")))
+    vectors = rows.select(F.xxhash64("doc_id", F.lit(3)).alias("h"), "lang", "text").mapInArrow(run, "h long, lang string, slots binary, shares binary").toPandas()
+    vectors = vectors.sort_values(["h", "lang", "slots"], kind="stable").groupby("lang").head(each).reset_index(drop=True)
+    langs = sorted(vectors["lang"].unique())
+    x = [(np.frombuffer(s, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64)) for s, v in zip(vectors["slots"], vectors["shares"], strict=True)]
+    return fit(x, vectors["lang"].map({l: i for i, l in enumerate(langs)}).to_numpy(), langs, document_frequency(known.select("text")))
 
 
 def predictor(model: Model | None):
     """A vectorised function of the text: struct(lang_pred, score)."""
     schema = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+
     def predict(text: pd.Series) -> pd.DataFrame:
         langs, scores = [], []
         for t in text:
@@ -196,8 +199,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """Every row: doc_id, held_out, lang_pred, score (the calibrated probability of lang_pred).
 
     Null texts and texts without a letter are ``und`` with score 0, and so is all if no row has a language to learn
-    from. Labels in ``lang`` of rows held out (crc32(doc_id) mod 3 is 1) aren't read. Repeated rows are all returned;
-    an empty table gives no rows; other columns are ignored.
+    from. Of languages that tie the first by code point is taken. Labels in ``lang`` of rows held out (crc32(doc_id)
+    mod 3 is 1) aren't read. Repeated rows are all returned; an empty table gives no rows; other columns are ignored.
     """
     model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **bounds)
     out = docs.select(docs[id_col].alias("doc_id"), (crc32_text(docs[id_col]) % 3 == 1).alias("held_out"), predictor(model)(docs[text_col]).alias("p"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, smallest_hashes
 
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -81,6 +81,7 @@ def _repeated(words: list[bytes]) -> int:
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the five counts and ``x``, the array of features, per row."""
+    thin = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,8 +91,11 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             x = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(FEATURES), pa.int32()), pa.array(flat.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[:, k]) for k in range(len(STATS))), x], ["doc_id", *STATS, "x"])
 
-    schema = "doc_id long, " + ", ".join(f"{s} long" for s in STATS) + ", x array<double>"
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return thin.mapInArrow(run, f"{_id_of(thin)}, " + ", ".join(f"{s} long" for s in STATS) + ", x array<double>")
+
+
+def _id_of(rows: DataFrame) -> str:
+    return f"doc_id {rows.schema['doc_id'].dataType.simpleString()}"
 
 
 @dataclass
@@ -200,18 +204,21 @@ def train(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60, depth
     return Trees(base, np.array(roots, int), flat[:, 0].astype(int), flat[:, 1], flat[:, 2].astype(int), flat[:, 3].astype(int), flat[:, 4], depth)
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """Every row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
 
     base_failed: under 50 words, or over half of the words in repeated three-word windows. kept: not base_failed and the
-    trees' score is at least ``threshold``. The trees are fitted on at most ``sample`` labelled rows, those with the
-    smallest hash of doc_id; without labels every score is one half and ``threshold`` decides alike for all. Null and
+    trees' score is at least ``threshold``. The trees are fitted on at most ``sample`` labelled rows, those with about the
+    smallest hashes of doc_id; without labels every score is one half and ``threshold`` decides alike for all. Null and
     empty texts have counts of zero; labels that are null are ignored, of repeated labels the smallest counts; repeated
     rows are all returned; an empty table gives no rows; other columns are ignored.
     """
     rows = durable(measure(docs, id_col, text_col))
-    marks = labels.where(labels[label_col].isNotNull() & labels["doc_id"].isNotNull()).groupBy("doc_id").agg(F.min(label_col).cast("int").alias("y"))
-    fit = rows.select("doc_id", "x").join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("x", "y").toPandas()
+    y = F.min(labels[label_col]).cast("int").alias("y")
+    marks = durable(labels.where(labels[label_col].isNotNull() & labels[label_id_col].isNotNull()).groupBy(labels[label_id_col].alias("marked")).agg(y).withColumn("h", F.xxhash64("marked")))
+    # little more than ``sample`` identifiers
+    chosen = F.broadcast(smallest_hashes(marks, "h", {None: max(1, marks.count())}, sample))
+    fit = rows.join(chosen, F.col("doc_id") == F.col("marked")).select("h", "x", "y").toPandas().sort_values("h", kind="stable").head(sample)
     x = np.array(fit["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     model = train(x, fit["y"].to_numpy(np.float64), list(FEATURES.values()))
 
@@ -221,6 +228,6 @@ def judge_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sa
             cols = [b.column(c) for c in ["doc_id", *STATS]]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(model.score(flat))], ["doc_id", *STATS, "score"])
 
-    scored = rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{s} long" for s in STATS) + ", score double")
+    scored = rows.mapInArrow(run, f"{_id_of(rows)}, " + ", ".join(f"{s} long" for s in STATS) + ", score double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.select("doc_id", *STATS, failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")
