@@ -1,6 +1,7 @@
 """URL filtering: host-suffix and path-prefix expressions joined to rules on short digest prefixes.
 
-A URL expands into every suffix of its host times the prefixes of its path at the lengths that rules have. Expressions
+A URL expands into the suffixes of its host times the prefixes of its path, at the numbers of labels and lengths that
+rules have. Expressions
 meet rules in an equi-join on the first four bytes of their SHA-256; the full digest confirms, the longest rule decides.
 """
 
@@ -25,10 +26,10 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def expressions(host: Column, path: Column, lengths: Column) -> Column:
-    """Array of (host suffix, path prefix): suffixes begin at a label, prefixes have one of ``lengths`` characters."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def expressions(host: Column, path: Column, labels: Column, lengths: Column) -> Column:
+    """Array of (host suffix, path prefix): suffixes have one of ``labels`` numbers of labels, prefixes one of ``lengths`` characters."""
+    parts = F.split(host, r"\.")
+    suffixes = F.transform(F.filter(labels, lambda n: n <= F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "."))
     fit = F.filter(lengths, lambda n: n <= F.length(path))
     return F.flatten(F.transform(suffixes, lambda h: F.transform(fit, lambda n: F.struct(h.alias("host"), F.substring(path, F.lit(1), n).alias("path")))))
 
@@ -55,10 +56,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
         F.substring(digest(F.col("host"), F.col("path")), 1, 8).alias("short"),
         digest(F.col("host"), F.col("path")).alias("full"),
     )
-    # one row: the distinct lengths of rule paths, a few dozen at most whatever the number of rules
-    lengths = unique.agg(F.collect_set(F.length("path")).alias("lengths"))
+    # one row: how many labels rule hosts have and how long rule paths are, a few dozen numbers whatever the number of rules
+    lengths = unique.agg(F.collect_set(F.size(F.split("host", r"\."))).alias("labels"), F.collect_set(F.length("path")).alias("lengths"))
     urls = seen.select("host", "path").distinct()
-    asked = urls.join(F.broadcast(lengths)).select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), F.col("lengths"))).alias("e"))
+    asked = urls.join(F.broadcast(lengths)).select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), F.col("labels"), F.col("lengths"))).alias("e"))
     asked = asked.select("host", "path", digest(F.col("e.host"), F.col("e.path")).alias("asked")).withColumn("short", F.substring("asked", 1, 8))
     hits = asked.join(keyed, "short").where("asked = full").groupBy("host", "path").agg(F.max("found").alias("found"))
     return seen.join(hits, ["host", "path"], "left").select(
