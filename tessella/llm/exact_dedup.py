@@ -18,9 +18,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, durable, parts
+from .common import SPACE, durable, parts, row_tag
+from .resemblance import may_be_among
 
-RUN = "digest binary, keep_id long, n_bytes long, n long, slot int"
 
 
 def normalised(text: Column) -> Column:
@@ -68,18 +68,19 @@ def merge_runs(digests: DataFrame) -> DataFrame:
     radix = max(2, math.ceil(width ** (1 / rounds)))
     leaves = radix**rounds
     order = ["digest", F.col("keep_id").asc_nulls_last()]
+    run = f"digest binary, keep_id {digests.schema['doc_id'].dataType.simpleString()}, n_bytes long, n long, slot int"
     word = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long")
     runs = (
         digests.select("digest", F.col("doc_id").alias("keep_id"), "n_bytes", F.lit(1).cast("long").alias("n"), (F.spark_partition_id() % leaves).alias("slot"))
         .sortWithinPartitions(*order)
-        .mapInArrow(_merge, RUN)
+        .mapInArrow(_merge, run)
     )
     for k in range(rounds):
         unit = radix**k
         theirs = (F.floor(word / unit) % radix).cast("int")
         mine = (F.floor(F.col("slot") / unit) % radix).cast("int")
         moved = (F.col("slot") + (theirs - mine) * unit).cast("int")
-        runs = runs.withColumn("slot", moved).repartitionById(leaves, "slot").sortWithinPartitions(*order).mapInArrow(_merge, RUN)
+        runs = runs.withColumn("slot", moved).repartitionById(leaves, "slot").sortWithinPartitions(*order).mapInArrow(_merge, run)
     return runs.select("digest", "keep_id", "n")
 
 
@@ -107,15 +108,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns as they were; of rows that repeat identifier and text, one."""
-    wide = docs.select(F.struct("*").alias("row"), docs[id_col].alias("doc_id"), *digest_columns(docs[text_col]))
-    merged = merge_runs(durable(wide.select("digest", "doc_id", "n_bytes")))
-    stays = merged.select(F.col("digest").alias("d"), F.col("keep_id").alias("k"))
-    return (
-        wide.join(stays, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("k")))
-        .dropDuplicates(["digest", "doc_id"])
-        .select("row.*")
-    )
+    """The rows of ``docs`` that stay, with their columns as they were; of rows that repeat identifier and text, one.
+
+    Equality, nulls and empty tables are as in ``exact_dedup``. Rows whose text stands once stay where they are; only
+    rows that may be copies are shuffled.
+    """
+    doc_id, text = docs[id_col], docs[text_col]
+    tag = row_tag(doc_id, text).alias("tag")
+    thin = durable(docs.select(*digest_columns(text), doc_id.alias("doc_id"), tag))
+    groups = durable(merge_runs(thin.select("digest", "doc_id", "n_bytes")).where("n > 1").select(F.col("digest").alias("d"), F.col("keep_id").alias("k")))
+    members = durable(thin.join(groups, F.col("digest") == F.col("d")).select("d", "tag", F.col("doc_id").eqNullSafe(F.col("k")).alias("first")))
+    stays = members.where("first").groupBy("d").agg(F.min("tag").alias("k")).select("k", F.lit(True).alias("stays"))
+    told = members.select(F.col("tag").alias("k")).distinct()
+    doubtful = may_be_among(told)
+    wide = docs.select(F.struct("*").alias("row"), tag)
+    asked = wide.where(doubtful("tag")).join(told.join(stays, "k", "left").select("k", F.coalesce("stays", F.lit(False)).alias("stays")), F.col("tag") == F.col("k"), "left")
+    # the bits' false alarms are in no group
+    once = asked.where("stays is null").select("row").unionByName(asked.where("stays").dropDuplicates(["tag"]).select("row"))
+    return wide.where(~doubtful("tag")).select("row").unionByName(once).select("row.*")
 
 
 SQL = r"""
