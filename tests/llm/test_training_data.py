@@ -128,10 +128,13 @@ def test_mixing(spark, sample):
     for r in rows:
         assert r.source_size == size[r.source] and abs(r.target - target[r.source]) < 1e-6 and r.taken <= 3 * r.size
         taken[r.source] += r.taken
-        assert r.position is None or 0 <= r.position <= 1
+        assert len(r.positions) == r.copies and all(0 <= p <= 1 for p in r.positions)
     largest = max(r.size for r in rows)
     assert all(abs(taken[s] - target[s]) <= largest for s in order)
-    assert Counter(rows) == Counter(mixing.mix(docs(spark, sample).repartition(3)).collect())
+    told = lambda found: Counter((r.doc_id, r.source, r.size, r.target, r.taken, *r.positions) for r in found)
+    assert told(rows) == told(mixing.mix(docs(spark, sample).repartition(3)).collect())
+    first = [r.positions[0] for r in rows if r.positions]
+    assert first == sorted(first)
     assert mixing.mix(docs(spark, EMPTY)).count() == 0
 
 
@@ -140,7 +143,7 @@ def test_mixing_caps_and_positions(spark):
     out = mixing.mix(docs(spark, rows)).collect()
     assert {r.target for r in out if r.source == "a"} == {90.0} and all(r.taken == 30 for r in out if r.source == "a")
     assert abs(sum(r.taken for r in out) - 3030) <= 10
-    early = sorted(r.position for r in out if r.source == "b" and r.position is not None)
+    early = sorted(r.positions[0] for r in out if r.source == "b" and r.positions)
     assert early[0] < 0.05 and early[-1] > 0.95
 
 
@@ -390,10 +393,26 @@ def test_automaton_is_exact():
 
 def test_context_windows_tell_quotes_from_abuse():
     matches = toxicity._Matches(toxicity.LexiconAutomaton({"grumble": 1}, set()))
-    abuse = toxicity.text_features("you are a grumble today", matches)
-    quote = toxicity.text_features('the report quoted the word "grumble" from a letter', matches)
-    assert abuse[0] > quote[0] and quote[5] > abuse[5] == 0
-    assert toxicity.text_features("grumbel gruble grumbble", matches)[4] > 0 and toxicity.text_features(None, matches) == [0.0] * 6
+    abuse, quote = "you are a grumble today", 'the report quoted the word "grumble" from a letter'
+    found = {t: toxicity.hits(t, matches) for t in (abuse, quote)}
+    at = 8 * (toxicity.EXACT - 1)
+    assert found[abuse][0][at + toxicity.ADDRESSED] == 1 and found[quote][0][at + toxicity.IN_QUOTES + toxicity.REPORTED] == 1
+    # a mark without its partner quotes nothing, nor does one on another line
+    assert toxicity.hits('a " grumble', matches)[0][at] == toxicity.hits('"a\ngrumble\nb"', matches)[0][at] == 1
+    counts = np.array([found[abuse][0]] * 20 + [found[quote][0]] * 20)
+    weights = toxicity.window_weights(counts, np.repeat([1.0, 0.0], 20))
+    assert weights[at + toxicity.ADDRESSED] > 0.8 and weights[at + toxicity.IN_QUOTES + toxicity.REPORTED] < 0.2
+    x = toxicity.features(counts, np.full(40, 9), weights)
+    assert (x[:20, 0] > x[20:, 0]).all() and (x[:20, 5] < x[20:, 5]).all()
+    assert toxicity.hits("grumbel gruble grumbble", matches)[0][8 * (toxicity.EDITED - 1)] == 2 and toxicity.hits(None, matches)[1] == 0
+
+
+def test_automaton_forgets_states(monkeypatch):
+    machine = toxicity.LexiconAutomaton({"grumble": 1}, {"abc"})
+    monkeypatch.setattr(toxicity, "STATES", 5)
+    for _ in range(3):
+        assert [machine.match(w) for w in ("grumble", "grumbles", "abcde", "xyz")] == [toxicity.EXACT, toxicity.EDITED, toxicity.STEM, 0]
+    assert len(machine.sets) < 60
 
 
 def test_toxicity(spark):
