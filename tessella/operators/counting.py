@@ -26,18 +26,20 @@ def top_targets(counts: DataFrame, k: int) -> DataFrame:
 
 
 def excluded_pairs(counts: DataFrame, k: int) -> DataFrame:
-    """What ``top_targets`` leaves out."""
-    return _ranked(counts).where(F.col("rn") > k).drop("rn")
+    """What ``top_targets`` leaves out: ranks up to ``k`` are pruned below the shuffle, ranks beyond it are never computed."""
+    return counts.join(top_targets(counts, k).select("src", "tgt"), ["src", "tgt"], "left_anti")
 
 
-def vocabulary(occurrences: DataFrame, cutoff: int, type_col: str, pos_col: str, first_id: int = 0) -> DataFrame:
+def vocabulary(occurrences: DataFrame, cutoff: int, type_col: str, pos_col: str, first_id: int = 0, then: tuple[str, ...] = ()) -> DataFrame:
     """(type, id) of types that occur more than ``cutoff`` times, numbered by the place of occurrence number cutoff + 1.
 
+    Places are ordered by ``pos_col``, a number, and ``then``.
+
     The rank filter is pushed below the shuffle, so a word that makes up a third of the corpus sends a few rows per task.
     """
-    turn = Window.partitionBy(type_col).orderBy(pos_col)
-    reached = occurrences.select(type_col, pos_col).withColumn("rn", F.row_number().over(turn)).where(F.col("rn") == cutoff + 1).drop("rn")
-    return dense_index(reached, pos_col, "id").select(F.col(type_col).alias("type"), (F.col("id") + first_id).cast("long").alias("id"))
+    turn = Window.partitionBy(type_col).orderBy(pos_col, *then)
+    reached = occurrences.select(type_col, pos_col, *then).withColumn("rn", F.row_number().over(turn)).where(F.col("rn") == cutoff + 1).drop("rn")
+    return dense_index(reached, pos_col, "id", ties=then).select(F.col(type_col).alias("type"), (F.col("id") + first_id).cast("long").alias("id"))
 
 
 def pair_vocabulary(rows: DataFrame, cutoff: int, excluded: DataFrame | None = None, unknown: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -53,6 +55,11 @@ def pair_vocabulary(rows: DataFrame, cutoff: int, excluded: DataFrame | None = N
     return kept, ids.select("row_id", F.coalesce("id", F.lit(0)).cast("long").alias("id"))
 
 
+def context_vocabulary(features: DataFrame, cutoff: int) -> DataFrame:
+    """Vocabulary of context features; they are placed by row, left side before right, and position."""
+    return vocabulary(features, cutoff, "feature", "row_id", then=("side", "pos"))
+
+
 def distance_of(feature: Column) -> Column:
     """``_dist{k}`` of a decorated feature, empty for boundaries and plain words."""
     return F.regexp_extract(feature, r"(_dist\d+)$", 1)
@@ -64,17 +71,16 @@ def context_matrix(features: DataFrame, cutoff: int, position: bool = False) ->
     Features at or under ``cutoff`` fall into ``<unk>``, with ``position`` into one such column for each distance. Those
     columns exist only if some feature falls into them; boundaries that are rare have one without a distance.
     """
-    placed = features.withColumn("at", F.col("row_id") * 256 + F.when(F.col("side") == "R", 128).otherwise(0) + F.col("pos"))
-    vocab = vocabulary(placed, cutoff, "feature", "at")
+    vocab = context_vocabulary(features, cutoff)
     rare = F.concat(F.lit(UNKNOWN), distance_of(F.col("feature"))) if position else F.lit(UNKNOWN)
-    known = placed.join(vocab.withColumnRenamed("type", "feature"), "feature", "left").withColumn("name", F.when(F.col("id").isNull(), rare).otherwise(F.col("feature")))
-    unknown = known.where("id is null").groupBy("name").agg(F.min("at").alias("at"))
+    known = features.join(vocab.select(F.col("type").alias("feature"), F.col("id").alias("own")), "feature", "left").withColumn("name", F.when(F.col("own").isNull(), rare))
+    # one column, or one for each distance and the boundaries
+    unknown = known.where("own is null").select("name").distinct()
     top = vocab.agg(F.coalesce(F.max("id") + 1, F.lit(0)).alias("first"))
     turn = F.row_number().over(Window.orderBy("name")) - 1
     extra = unknown.withColumn("turn", turn).join(F.broadcast(top)).select(F.col("name").alias("type"), (F.col("first") + F.col("turn")).cast("long").alias("id"))
-    whole = vocab.unionByName(extra)
-    cells = known.select("row_id", "name").join(whole.withColumnRenamed("type", "name"), "name")
-    return whole, cells.groupBy("row_id", "id").agg(F.count("*").cast("double").alias("val"))
+    placed = known.join(F.broadcast(extra.select(F.col("type").alias("name"), F.col("id").alias("spare"))), "name", "left").select("row_id", F.coalesce("own", "spare").alias("id"))
+    return vocab.unionByName(extra), placed.groupBy("row_id", "id").agg(F.count("*").cast("double").alias("val"))
 
 
 def summed_cells(cells: DataFrame) -> DataFrame:
@@ -104,14 +110,15 @@ def row_subset(cells: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def held_out(rows: DataFrame, fraction: float, seed: int = 42, key: str = "row_id") -> DataFrame:
-    """Exactly ``int(fraction * n)`` rows, those with the smallest hash of their key; the same ones in every run.
+    """Exactly ``int(fraction * n)`` rows, those whose key and seed have the smallest MD5; the same ones in every run.
 
     The border is found from counts per hash bucket, so no row set is sorted as a whole.
     """
     n = rows.count()
     take = int(fraction * n)
-    h = F.xxhash64(key, F.lit(seed))
-    placed = rows.withColumn("h", h).withColumn("bucket", F.floor(F.col("h") / 2**53).cast("int"))
+    h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    placed = rows.withColumn("h", h).withColumn("bucket", F.substring("h", 1, 3))
+    # 4,096 buckets at most
     counts = placed.groupBy("bucket").agg(F.count("*").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")).where(F.col("offset") < take)
