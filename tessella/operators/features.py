@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import printed, tokens
@@ -35,12 +35,11 @@ def rule_features(counts: DataFrame, add_one: bool = True) -> DataFrame:
 
 
 def lexical_table(counts: DataFrame) -> DataFrame:
-    """(f, e, p_ef, p_fe): word translation probabilities as relative frequencies, both directions."""
-    by_src = Window.partitionBy("src")
-    by_tgt = Window.partitionBy("tgt")
-    return counts.select("src", "tgt", (F.col("n") / F.sum("n").over(by_src)).alias("p_ef"), (F.col("n") / F.sum("n").over(by_tgt)).alias("p_fe")).select(
-        F.col("src").alias("f"), F.col("tgt").alias("e"), "p_ef", "p_fe"
-    )
+    """(f, e, p_ef, p_fe): word translation probabilities as relative frequencies, both directions; totals are joined back."""
+    by_src = counts.groupBy("src").agg(F.sum("n").alias("src_n"))
+    by_tgt = counts.groupBy("tgt").agg(F.sum("n").alias("tgt_n"))
+    rows = counts.join(by_src, "src").join(by_tgt, "tgt")
+    return rows.select(F.col("src").alias("f"), F.col("tgt").alias("e"), (F.col("n") / F.col("src_n")).alias("p_ef"), (F.col("n") / F.col("tgt_n")).alias("p_fe"))
 
 
 def _max_lexical(pairs: DataFrame, table: DataFrame, given: str, word: str, p: str, out: str) -> DataFrame:
@@ -49,7 +48,7 @@ def _max_lexical(pairs: DataFrame, table: DataFrame, given: str, word: str, p: s
     each = pairs.select("src", "tgt", F.posexplode(tokens(F.col(under))).alias("k", word), tokens(F.col(over)).alias("others"))
     each = each.withColumn(given, F.explode(F.array_union("others", F.array(F.lit("NULL")))))
     best = each.join(table.select("f", "e", F.col(p).alias("p")), ["f", "e"], "left").groupBy("src", "tgt", "k").agg(F.max("p").alias("p"))
-    return best.groupBy("src", "tgt").agg(F.sum(F.coalesce(-F.log10("p"), F.lit(MISSING))).alias(out))
+    return best.groupBy("src", "tgt").agg(F.sum(F.when(F.col("p") > 0, -F.log10("p")).otherwise(MISSING)).alias(out))
 
 
 def lexical_features(pairs: DataFrame, table: DataFrame) -> DataFrame:
@@ -62,21 +61,25 @@ def lexical_features(pairs: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def featurised_rules(rules: DataFrame, counts: DataFrame, table: DataFrame | None = None) -> DataFrame:
-    """Grammar lines with feature strings, for ``rules(sent_id, lhs, src, tgt, word, features)``.
+    """Adds ``line`` to ``rules(sent_id, lhs, src, tgt, features)``: grammar lines with their features.
 
-    Targets ``<unk>`` copy the source word. Rules with a non-terminal or a PassThrough get no counts-based features; a pair
-    without counts gets none either. Features that are null are left out.
+    Sources ``<unk>`` take the word of the target side. Rules with a non-terminal, unknown words and PassThrough rules get
+    no features from counts; a pair without counts gets none either. Lexical features are left out for PassThrough rules
+    alone, and where a word without any probability brings them to 99.
     """
-    word = F.coalesce("word", "src")
-    fixed = rules.withColumn("src", F.when(F.col("tgt") == "<unk>", word).otherwise(F.col("src"))).withColumn("tgt", F.when(F.col("tgt") == "<unk>", word).otherwise(F.col("tgt")))
-    plain = ~F.col("src").contains("[X") & ~F.coalesce("features", F.lit("")).contains("PassThrough")
-    found = rule_features(counts)
-    out = fixed.join(found, ["src", "tgt"], "left")
+    unknown = F.col("src") == "<unk>"
+    fixed = rules.withColumn("unknown", unknown).withColumn("src", F.when(unknown, F.col("tgt")).otherwise(F.col("src")))
+    passes = F.coalesce(F.col("features") == "PassThrough=1", F.lit(False))
+    plain = ~F.col("unknown") & ~passes & ~F.concat_ws(" ", "src", "tgt").rlike(r"\[[^\]]*\]")
+    out = fixed.join(rule_features(counts), ["src", "tgt"], "left")
+    shown = [
+        F.when(F.col("e_given_f") == 0, F.lit("EgivenF=-0.0")).otherwise(F.concat(F.lit("EgivenF="), printed(F.col("e_given_f"), "%.11f"))),
+        *(F.concat(F.lit(f"{name}="), printed(F.col(c), spec)) for name, c, spec in (("SampleCountF", "sample_count_f", "%.11f"), ("CountEF", "count_ef", "%.11f"), ("IsSingletonF", "is_singleton_f", "%d"), ("IsSingletonFE", "is_singleton_fe", "%d"))),
+    ]
+    parts = [F.when(plain & F.col("e_given_f").isNotNull(), x) for x in shown]
     if table is not None:
-        out = out.join(lexical_features(fixed.where(plain), table), ["src", "tgt"], "left")
-    named = [("EgivenF", "e_given_f", "%.11f"), ("SampleCountF", "sample_count_f", "%.11f"), ("CountEF", "count_ef", "%.11f"), ("IsSingletonF", "is_singleton_f", "%d"), ("IsSingletonFE", "is_singleton_fe", "%d")]
-    named += [("MaxLexEgivenF", "max_lex_e_f", "%.11f"), ("MaxLexFgivenE", "max_lex_f_e", "%.11f")] if table is not None else []
-    parts = [F.when(plain & F.col(c).isNotNull(), F.concat(F.lit(f"{name}="), printed(F.col(c), spec))) for name, c, spec in named]
+        out = out.join(lexical_features(fixed.where(~passes), table), ["src", "tgt"], "left")
+        parts += [F.when(~passes & F.col(c).isNotNull(), F.concat(F.lit(f"{name}="), printed(F.col(c), "%.11f"))) for name, c in (("MaxLexFgivenE", "max_lex_f_e"), ("MaxLexEgivenF", "max_lex_e_f"))]
     return out.withColumn("line", F.concat_ws(" ||| ", "lhs", "src", "tgt", F.concat_ws(" ", "features", *parts)))
 
 

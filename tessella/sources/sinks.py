@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rules that every merged grammar has.
-GLUE = ["[S] ||| [S,1] [X,2] ||| [1] [2] ||| Glue=1", "[S] ||| [X,1] ||| [1] ||| ", "[X] ||| [X,1] [X,2] ||| [1] [2] ||| "]
+#: The rules that every merged grammar ends with.
+GLUE = ["[X] ||| [X,1] [X,2] ||| [1] [2] ||| Glue=1", "[X] ||| [X,1] [X,2] ||| [2] [1] ||| Glue=1 Inverse=1", "[S] ||| [X,1] ||| [1] ||| 0"]
 
 
 def write_sentence_grammars(rules: DataFrame, folder: str) -> None:
-    """One gzip text file per sentence, in folders ``sent_id=n``; all rules of a sentence meet in one task."""
-    rules.select("sent_id", "line").repartition("sent_id").sortWithinPartitions("sent_id", "line").write.mode("overwrite").partitionBy("sent_id").option("compression", "gzip").text(folder)
+    """One gzip text file ``grammar.{n}.gz`` per sentence; all rules of a sentence meet in one task.
+
+    Sentences are written in parallel; giving the files their names is one rename each on the driver.
+    """
+    spark = rules.sparkSession
+    staged = f"{folder}/_staged"
+    thin = rules.select("sent_id", "line").repartition("sent_id").sortWithinPartitions("sent_id", "line")
+    thin.write.mode("overwrite").partitionBy("sent_id").option("compression", "gzip").text(staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for sentence in fs.listStatus(path(staged)):
+        name = sentence.getPath().getName()
+        if name.startswith("sent_id="):
+            target = path(f"{folder}/grammar.{name.removeprefix('sent_id=')}.gz")
+            fs.delete(target, False)
+            # one task wrote the sentence, so there is one file
+            fs.rename(fs.globStatus(path(f"{staged}/{name}/part-*"))[0].getPath(), target)
+    fs.delete(path(staged), True)
 
 
 def merged_grammar(rules: DataFrame) -> DataFrame:
