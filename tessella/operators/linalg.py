@@ -1,8 +1,8 @@
 """Sparse matrices as (row_id, id, val) tables: Gram products, whitening, SVD, CCA, ridge regression, projection.
 
-Products over the corpus are joins and sums. Only what is square in the reduced dimension reaches the driver: dense
-solvers take at most ``DENSE`` columns a side, larger problems go through a randomised range finder whose passes are
-joins and whose driver state is as wide as the rank.
+Products over the corpus are joins and sums. What is small in both dimensions is factorised on the driver; beyond ``DENSE``
+columns a side a randomised range finder or conjugate gradients take over, whose passes are joins and whose driver state
+is as wide as the rank. Fitted projections are tables (id, v) either way.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import sum_vectors, zeros
+from ..session import durable
 
 #: Columns a side that a dense factorisation on the driver takes (128 MB a matrix).
 DENSE = 4096
@@ -58,7 +59,7 @@ def shifted_ppmi(product: DataFrame, x: DataFrame, y: DataFrame, n: int, shift:
 def dense(product: DataFrame, p: int, q: int) -> np.ndarray:
     """A product with at most ``DENSE`` rows and columns as an array on the driver."""
     if max(p, q) > DENSE:
-        raise ValueError(f"{p} x {q} is over {DENSE} a side: use randomised_svd")
+        raise ValueError(f"{p} x {q} is over {DENSE} a side")
     out = np.zeros((p, q))
     rows = product.select("i", "j", "val").toPandas()
     out[rows["i"].to_numpy(np.int64), rows["j"].to_numpy(np.int64)] = rows["val"].to_numpy()
@@ -87,25 +88,78 @@ def cca(cxx: np.ndarray, cyy: np.ndarray, cxy: np.ndarray, k: int, gamma_x: floa
     return rx @ u, ry @ v, s
 
 
-def fit_cca(x: DataFrame, y: DataFrame, p: int, q: int, k: int, gamma_x: float, gamma_y: float, whitening: str = "full", n: int | None = None, centre: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Projections and singular values for whitening full (CCA), diag, ppmi (``gamma_x`` is the shift) or identity."""
+def fit_cca(x: DataFrame, y: DataFrame, p: int, q: int, k: int, gamma_x: float, gamma_y: float, whitening: str = "full", n: int | None = None, centre: bool = False, most: int = DENSE, alternations: int = 1) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Projections (id, v) and singular values for whitening full (CCA), diag, ppmi (``gamma_x`` is the shift) or identity.
+
+    Up to ``most`` columns a side (``DENSE`` at most) the result is exact, beyond it randomised. With ``full``, the range
+    of the diagonally whitened product is refined by regressing each view on the other's projection ``alternations`` times,
+    and CCA is solved within it: exact if its width, a little over ``k``, covers the product's rank, else from below.
+    """
+    if whitening not in ("full", "diag", "ppmi", "identity"):
+        raise ValueError(f"no whitening {whitening!r}")
     xy = cross_covariance(x, y)
+    if max(p, q) > min(most, DENSE):
+        return _randomised_cca(x, y, xy, k, gamma_x, gamma_y, whitening, n, centre, alternations)
     if centre:
         xy = centre_correction(xy, x, y, n)
     if whitening == "full":
         xx, yy = cross_covariance(x, x), cross_covariance(y, y)
         if centre:
             xx, yy = centre_correction(xx, x, x, n), centre_correction(yy, y, y, n)
-        return cca(dense(xx, p, p), dense(yy, q, q), dense(xy, p, q), k, gamma_x, gamma_y)
-    if whitening in ("ppmi", "identity"):
-        u, s, v = truncated_svd(dense(shifted_ppmi(xy, x, y, n, gamma_x) if whitening == "ppmi" else xy, p, q), k)
-        return u, v, s
-    if whitening != "diag":
-        raise ValueError(f"no whitening {whitening!r}")
-    u, s, v = truncated_svd(dense(whitened(xy, x, y, gamma_x, gamma_y), p, q), k)
-    wx, wy = (dict(diagonal_weights(m, g).collect()) for m, g in ((x, gamma_x), (y, gamma_y)))
-    scale = lambda w, rows, g: np.array([w.get(i, 1 / np.sqrt(g) if g > 0 else 0.0) for i in range(rows)])[:, None]
-    return scale(wx, p, gamma_x) * u, scale(wy, q, gamma_y) * v, s
+        u, v, s = cca(dense(xx, p, p), dense(yy, q, q), dense(xy, p, q), k, gamma_x, gamma_y)
+    else:
+        u, s, v = truncated_svd(dense(_scaled(xy, x, y, gamma_x, gamma_y, whitening, n), p, q), k)
+    left, right = as_table(x.sparkSession, u), as_table(x.sparkSession, v)
+    return (_rescaled(left, x, gamma_x), _rescaled(right, y, gamma_y), s) if whitening == "diag" else (left, right, s)
+
+
+def cca_tables(x: DataFrame, y: DataFrame, k: int, gamma_x: float, gamma_y: float, **options) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """CCA of matrices whose columns are counted first."""
+    p, q = (1 + (m.agg(F.max("id")).first()[0] or 0) for m in (x, y))
+    return fit_cca(x, y, p, q, k, gamma_x, gamma_y, **options)
+
+
+def _scaled(product: DataFrame, x: DataFrame, y: DataFrame, gamma_x: float, gamma_y: float, whitening: str, n: int | None) -> DataFrame:
+    if whitening == "ppmi":
+        return shifted_ppmi(product, x, y, n, gamma_x)
+    return whitened(product, x, y, gamma_x, gamma_y) if whitening in ("diag", "full") else product
+
+
+def _rescaled(vectors: DataFrame, x: DataFrame, gamma: float) -> DataFrame:
+    """Rows of a projection times their columns' diagonal weights; columns without entries have the ridge's."""
+    met = vectors.join(diagonal_weights(x, gamma), "id", "left")
+    w = F.coalesce("w", F.lit(1 / float(np.sqrt(gamma)) if gamma > 0 else 0.0))
+    return met.select("id", F.transform("v", lambda t: t * w).alias("v"))
+
+
+def _randomised_cca(x: DataFrame, y: DataFrame, xy: DataFrame, k: int, gamma_x: float, gamma_y: float, whitening: str, n: int | None, centre: bool, alternations: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    product = durable(_scaled(xy, x, y, gamma_x, gamma_y, whitening, n))
+    if whitening != "full":
+        left, s, right = randomised_svd(product, k)
+        return (_rescaled(left, x, gamma_x), _rescaled(right, y, gamma_y), s) if whitening == "diag" else (left, right, s)
+    left, s, right = randomised_svd(product, k + 10)
+    width = len(s)
+    left, right = durable(_rescaled(left, x, gamma_x)), durable(_rescaled(right, y, gamma_y))
+    for _ in range(alternations):
+        right = durable(_gradients(y, _as_cells(projected(x, left)), width, gamma_y, 1e-6, 50))
+        left = durable(_gradients(x, _as_cells(projected(y, right)), width, gamma_x, 1e-6, 50))
+    a, b = durable(projected(x, left)), durable(projected(y, right))
+    aa, bb = _gram(a, width), _gram(b, width)
+    both = a.join(b.withColumnRenamed("v", "w"), "row_id")
+    wide = both.select(F.concat("v", "w").alias("v"))
+    ab = _gram(wide, 2 * width)[:width, width:]
+    if centre:
+        ma, mb = (_column_sums(m, width) for m in (a, b))
+        aa, bb, ab = aa - np.outer(ma, ma) / n, bb - np.outer(mb, mb) / n, ab - np.outer(ma, mb) / n
+    # the ridge is on the original columns: B'B of the bases takes the place of the unit matrix
+    rx, ry = inverse_root(aa + gamma_x * _gram(left, width)), inverse_root(bb + gamma_y * _gram(right, width))
+    u, s, v = truncated_svd(rx @ ab @ ry, min(k, width))
+    return _turned(left, rx @ u), _turned(right, ry @ v), s
+
+
+def _as_cells(vectors: DataFrame) -> DataFrame:
+    """(row_id, id, val) of (row_id, v)."""
+    return vectors.select("row_id", F.posexplode("v").alias("id", "val")).withColumn("id", F.col("id").cast("long"))
 
 
 def _times(product: DataFrame, basis: DataFrame, transposed: bool = False) -> DataFrame:
@@ -129,20 +183,32 @@ def _gram(tall: DataFrame, width: int) -> np.ndarray:
     return np.array([r.x for r in cells.groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()]).reshape(width, width)
 
 
-def _orthonormal(tall: DataFrame, width: int) -> DataFrame:
-    """Orthonormal columns by the inverse root of the Gram matrix; directions without length become zero."""
-    w, vec = np.linalg.eigh(_gram(tall, width))
-    keep = w > 1e-12 * w.max()
-    factor = np.where(keep, 1 / np.sqrt(np.where(keep, w, 1.0)), 0.0) * vec
+def _column_sums(tall: DataFrame, width: int) -> np.ndarray:
+    out = np.zeros(width)
+    for i, x in tall.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x")).collect():
+        out[i] = x
+    return out
+
+
+def _turned(tall: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """Every row of (id, v) times a small matrix."""
 
     def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            v = np.array(b["v"].tolist()).reshape(-1, width)
-            yield pd.DataFrame({"id": b["id"], "v": (v @ factor).tolist()})
+            v = np.array(b["v"].tolist()).reshape(-1, len(matrix))
+            yield pd.DataFrame({"id": b["id"], "v": (v @ matrix).tolist()})
 
     return tall.select("id", "v").mapInPandas(turn, "id long, v array<double>")
 
 
+def _orthonormal(tall: DataFrame, width: int) -> DataFrame:
+    """Orthonormal columns by the inverse root of the Gram matrix; directions without length become zero. Written out, for the next pass reads it twice."""
+    tall = durable(tall)
+    w, vec = np.linalg.eigh(_gram(tall, width))
+    keep = w > 1e-12 * w.max()
+    return durable(_turned(tall, np.where(keep, 1 / np.sqrt(np.where(keep, w, 1.0)), 0.0) * vec))
+
+
 def randomised_svd(product: DataFrame, k: int, extra: int = 10, passes: int = 2, seed: int = 1) -> tuple[DataFrame, np.ndarray, DataFrame]:
     """Left vectors (id, v), singular values and right vectors of a sparse product of any size.
 
@@ -158,19 +224,88 @@ def randomised_svd(product: DataFrame, k: int, extra: int = 10, passes: int = 2,
     left = _orthonormal(_times(product, basis), width)
     for _ in range(passes):
         left = _orthonormal(_times(product, _orthonormal(_times(product, left, True), width)), width)
-    right = _times(product, left, True)
-
+    right = durable(_times(product, left, True))
     w, vec = np.linalg.eigh(_gram(right, width))
     order = np.argsort(w)[::-1][:k]
     s, vec = np.sqrt(np.maximum(w[order], 0)), vec[:, order]
-    turned = lambda df, m: df.select("id", F.array(*[sum((F.col("v")[a] * float(m[a, b]) for a in range(width)), F.lit(0.0)) for b in range(k)]).alias("v"))
-    return turned(left, vec), s, turned(right, vec / np.where(s > 0, s, 1.0))
+    return _turned(left, vec), s, _turned(right, vec / np.where(s > 0, s, 1.0))
+
 
+def ridge(x: DataFrame, y: DataFrame, p: int, q: int, gamma: float) -> DataFrame:
+    """(id, v): for each column of Y its row of ((X'X + gamma I)^-1 X'Y)'.
 
-def ridge(x: DataFrame, y: DataFrame, p: int, q: int, gamma: float) -> np.ndarray:
-    """(X'X + gamma I)^-1 X'Y."""
-    xx, xy = dense(cross_covariance(x, x), p, p), dense(cross_covariance(x, y), p, q)
-    return np.linalg.solve(xx + gamma * np.eye(p), xy)
+    Up to ``DENSE`` columns of X the inverse is taken on the driver and applied to Y's columns where they are, however
+    many there are. Beyond it conjugate gradients solve for blocks of Y's columns.
+    """
+    if p > DENSE:
+        return _conjugate_ridge(x, y, p, q, gamma)
+    inverse = np.linalg.inv(dense(cross_covariance(x, x), p, p) + gamma * np.eye(p))
+    columns = cross_covariance(x, y).groupBy(F.col("j").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("i", "val"))).alias("m"))
+    whole = columns.select("id", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(p - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+    return _turned(whole, inverse)
+
+
+def _conjugate_ridge(x: DataFrame, y: DataFrame, p: int, q: int, gamma: float, block: int = 64) -> DataFrame:
+    """The same by conjugate gradients."""
+    found = None
+    for lo in range(0, q, block):
+        width = min(block, q - lo)
+        solved = _gradients(x, y.where((F.col("id") >= lo) & (F.col("id") < lo + width)).withColumn("id", F.col("id") - lo), width, gamma)
+        long = solved.select(F.col("id").alias("i"), F.posexplode("v").alias("j", "val")).groupBy("j").agg(F.map_from_entries(F.collect_list(F.struct("i", "val"))).alias("m"))
+        v = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(p - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+        solved = long.select((F.col("j") + lo).cast("long").alias("id"), v.alias("v"))
+        found = solved if found is None else found.unionByName(solved)
+    return found
+
+
+def _gradients(x: DataFrame, y: DataFrame, width: int, gamma: float, least: float = 1e-9, most: int = 500) -> DataFrame:
+    """(id, v): rows of (X'X + gamma I)^-1 X'Y for ``width`` columns of Y, by conjugate gradients.
+
+    A pass is two joins and sums; the driver holds a few numbers per column. It stops once residuals are ``least`` of
+    what they were, or after ``most`` passes with what has been reached.
+    """
+    back = x.select(F.col("id").alias("row_id"), F.col("row_id").alias("id"), "val")
+    rows = cross_covariance(x, y).groupBy(F.col("i").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("j", "val"))).alias("m"))
+    r = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0)))
+    state = durable(rows.select("id", F.array_repeat(F.lit(0.0), width).alias("b"), r.alias("r"), r.alias("d")))
+    norm = first = _products(state, "r", "r", width)
+    for _ in range(most):
+        if (norm <= least * least * np.maximum(first, 1e-300)).all():
+            break
+        ahead = projected(back, projected(x, state.select("id", F.col("d").alias("v"))).withColumnRenamed("row_id", "id")).withColumnRenamed("row_id", "id").withColumnRenamed("v", "a")
+        # columns of X that Y doesn't touch at first come in as zeros
+        met = durable(ahead.join(state, "id", "full").select("id", *[_or_zero(c, width).alias(c) for c in "brd"], _plus("a", "d", np.full(width, gamma), width).alias("a")))
+        bent = _products(met, "d", "a", width)
+        step = norm / np.where(bent > 0, bent, 1.0)
+        state = durable(met.select("id", _plus("b", "d", step, width).alias("b"), _plus("r", "a", -step, width).alias("r"), "d"))
+        last, norm = norm, _products(state, "r", "r", width)
+        state = state.select("id", "b", "r", _plus("r", "d", norm / np.where(last > 0, last, 1.0), width).alias("d"))
+    return state.select("id", F.col("b").alias("v"))
+
+
+def _or_zero(name: str, width: int):
+    return F.coalesce(name, zeros(width))
+
+
+def _plus(a: str, b: str, times: np.ndarray, width: int):
+    """a + times * b, element by element; missing arrays are zero."""
+    scaled = F.zip_with(_or_zero(b, width), F.array(*[F.lit(float(t)) for t in times]), lambda x, t: x * t)
+    return F.zip_with(_or_zero(a, width), scaled, lambda x, y: x + y)
+
+
+def _products(rows: DataFrame, a: str, b: str, width: int) -> np.ndarray:
+    return _column_sums(rows.select(F.zip_with(a, b, lambda x, y: x * y).alias("v")), width)
+
+
+def as_array(table: DataFrame, rows: int) -> np.ndarray:
+    """(id, v) of at most ``DENSE`` rows as an array on the driver."""
+    if rows > DENSE:
+        raise ValueError(f"{rows} rows are over {DENSE}")
+    found = table.collect()
+    out = np.zeros((rows, len(found[0]["v"]) if found else 0))
+    for r in found:
+        out[r["id"]] = r["v"]
+    return out
 
 
 def as_table(spark, matrix: np.ndarray) -> DataFrame:
