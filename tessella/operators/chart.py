@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SEPARATOR
+from . import scoring
 
 
 def escaped(words):
@@ -80,16 +81,27 @@ def top_rules(sentences: DataFrame) -> DataFrame:
     return sentences.where(F.size("words") > 0).select("sent_id", F.concat(F.lit("[S] ||| [X_0_"), n, F.lit("] ||| [1] ||| 0")).alias("line"))
 
 
-def failures(sentences: DataFrame, spans: DataFrame) -> DataFrame:
-    """Sentences without a node over all their words: the empty ones."""
-    whole = spans.select("sent_id", "i", "j").join(sentences.select("sent_id", F.size("words").alias("n")), "sent_id").where("i = 0 and j = n")
-    return sentences.select("sent_id").join(whole.select("sent_id").distinct(), "sent_id", "left_anti")
+def scored_rules(scored: DataFrame, plain: bool = False, normalise: str = "none", only_positive: bool = False, log: bool = False, rank: bool = False, **shown: bool) -> DataFrame:
+    """(sent_id, line) of ``scored(sent_id, i, j, src, tgt, score)``: the candidates of each span normalised and ranked
+    among themselves, then printed. ``shown`` are the options of ``scoring.rule_line``."""
+    out = scoring.post_processed(scored, ["sent_id", "i", "j"], normalise, only_positive, log, rank)
+    lines = scoring.rule_line(out.withColumn("lhs", symbol(F.col("i"), F.col("j"), plain)), log=log, **shown)
+    return lines.select("sent_id", "line")
+
+
+def failures(sentences: DataFrame) -> DataFrame:
+    """Sentences without a node over all their words; as every span is provable, these are the empty ones."""
+    return sentences.where(F.coalesce(F.size("words"), F.lit(0)) <= 0).select("sent_id")
 
 
 def grammar(sentences: DataFrame, inventory: DataFrame, scored_lines: DataFrame | None = None) -> DataFrame:
-    """All lines of all sentences' grammars: glue, unknown words, copies, top rules and, if given, the scored rules."""
+    """All lines of all sentences' grammars: glue, unknown words, copies, top rules and, if given, the scored rules.
+
+    Glue lines are as many as word triples and different by construction; only the others are looked at for repeats.
+    """
     words = sentences.withColumn("words", escaped(F.col("words")))
     spans = span_phrases(words, longest_source(inventory))
-    lexical = lexical_edges(spans, inventory)
-    out = glue_rules(binary_edges(nodes(words))).unionByName(unknown_rules(unknown_edges(spans, inventory))).unionByName(copy_rules(lexical)).unionByName(top_rules(words))
-    return (out.unionByName(scored_lines.select("sent_id", "line")) if scored_lines is not None else out).distinct()
+    others = unknown_rules(unknown_edges(spans, inventory)).unionByName(copy_rules(lexical_edges(spans, inventory))).unionByName(top_rules(words))
+    if scored_lines is not None:
+        others = others.unionByName(scored_lines.select("sent_id", "line"))
+    return glue_rules(binary_edges(nodes(words))).unionByName(others.distinct())

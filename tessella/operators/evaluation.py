@@ -15,8 +15,8 @@ def scorable(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def gold_ranks(scored: DataFrame, key: str = "row_id") -> DataFrame:
     """(key, n_cands, rank, score) of examples of ``scored(key, tgt, score, is_gold)`` with more than one candidate.
 
-    Candidates stand by score, null last, ties by target; rank is null if the gold candidate has no score. The gold
-    rank is counted by joining gold rows to the group's better candidates' count, not by sorting groups.
+    Candidates stand by score, null last, ties by target; rank is null if the gold candidate has no score. Groups are the
+    candidates of one example, a few rows each; they aren't sorted, better ones are counted.
     """
     w = Window.partitionBy(key)
     better = (F.col("score") > F.col("gold")) | ((F.col("score") == F.col("gold")) & (F.col("tgt") < F.col("gold_tgt")))

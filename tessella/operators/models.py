@@ -5,27 +5,28 @@ Where an external learner would be called, Spark ML or the ridge solver takes it
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import linalg
+from ..functions.vectors import sum_vectors, unit
+from ..session import durable
+from . import linalg, scoring
 
 
-def context_cca(left: DataFrame, right: DataFrame, p: int, q: int, k: int, gamma: float = 1e-5, whitening: str = "full", n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Projections of left and right contexts."""
+def context_cca(left: DataFrame, right: DataFrame, p: int, q: int, k: int, gamma: float = 1e-5, whitening: str = "full", n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Projections of left and right contexts, (id, v)."""
     u, v, _ = linalg.fit_cca(left, right, p, q, k, gamma, gamma, whitening, n)
     return u, v
 
 
-def two_step_cca(left: DataFrame, right: DataFrame, pairs: DataFrame, sizes: tuple[int, int, int], ranks: tuple[int, int], gammas: tuple[float, float] = (1e-5, 1e-5), whitening: str = "full", n: int | None = None) -> dict[str, np.ndarray]:
+def two_step_cca(left: DataFrame, right: DataFrame, pairs: DataFrame, sizes: tuple[int, int, int], ranks: tuple[int, int], gammas: tuple[float, float] = (1e-5, 1e-5), whitening: str = "full", n: int | None = None) -> dict:
     """Context CCA, then CCA of the projected contexts (left and right side by side) with one-hot pairs.
 
-    After ppmi the second step whitens fully. Second-step Gram matrices are as small as the ranks.
+    After ppmi the second step whitens fully. The projections are tables (id, v), to be saved with their vocabularies by
+    ``sinks.save_tables``; ``correlations`` are the second step's.
     """
-    u, v = context_cca(left, right, sizes[0], sizes[1], ranks[0], gammas[0], whitening, n)
-    spark = left.sparkSession
-    dense = context_vectors(left, right, linalg.as_table(spark, u), linalg.as_table(spark, v), ranks[0])
+    u, v = (durable(t) for t in context_cca(left, right, sizes[0], sizes[1], ranks[0], gammas[0], whitening, n))
+    dense = durable(context_vectors(left, right, u, v, ranks[0]))
     cells = dense.select("row_id", F.posexplode("v").alias("id", "val"))
     a, b, s = linalg.fit_cca(cells, pairs, 2 * ranks[0], sizes[2], min(ranks[1], 2 * ranks[0], sizes[2]), gammas[1], gammas[1], "full" if whitening == "ppmi" else whitening, n)
     return {"left": u, "right": v, "context": a, "pair": b, "correlations": s}
@@ -39,8 +40,8 @@ def context_vectors(left: DataFrame, right: DataFrame, left_projection: DataFram
     return a.join(b, "row_id", "full").select("row_id", F.concat(F.coalesce("a", zero), F.coalesce("b", zero)).alias("v"))
 
 
-def glm(contexts: DataFrame, pairs: DataFrame, dim: int, n_pairs: int, gamma: float) -> np.ndarray:
-    """Ridge regression of one-hot pairs on [context, 1]; the intercept is shrunk like the rest."""
+def glm(contexts: DataFrame, pairs: DataFrame, dim: int, n_pairs: int, gamma: float) -> DataFrame:
+    """Ridge regression of one-hot pairs on [context, 1], a row (id, v) per pair; the intercept is shrunk like the rest."""
     with_one = contexts.select("row_id", F.posexplode(F.concat("v", F.array(F.lit(1.0)))).alias("id", "val"))
     return linalg.ridge(with_one, pairs, dim + 1, n_pairs, gamma)
 
@@ -74,16 +75,16 @@ def matching_set(candidates: DataFrame) -> DataFrame:
 
 def label_costs(candidates: DataFrame, uniform: bool = False) -> DataFrame:
     """Cost per candidate of ``candidates(row_id, tgt, n, is_gold)``: gold 0; others 1, or by frequency
-    (n + 1) * size / (sum of counts - gold's count), size - 1 if that denominator is 0."""
+    (n + 1) * size / (sum of counts - gold's count), where size - 1 is the denominator if that sum is 0."""
     w = Window.partitionBy("row_id")
     size = F.count("*").over(w)
     rest = F.sum("n").over(w) - F.max(F.when(F.col("is_gold"), F.col("n"))).over(w)
-    cost = F.lit(1.0) if uniform else F.when(rest == 0, (size - 1).cast("double")).otherwise(F.try_divide((F.col("n") + 1) * size, rest).cast("double"))
+    cost = F.lit(1.0) if uniform else F.try_divide((F.col("n") + 1) * size, F.when(rest == 0, size - 1).otherwise(rest)).cast("double")
     return candidates.withColumn("cost", F.round(F.when(F.col("is_gold"), F.lit(0.0)).otherwise(cost), 1))
 
 
-def cost_regression(contexts: DataFrame, costs: DataFrame, dim: int, n_labels: int, gamma: float = 1.0) -> np.ndarray:
-    """One-against-all regression of costs on [context, 1]: column j predicts the cost of label j (``costs(row_id, id, cost)``)."""
+def cost_regression(contexts: DataFrame, costs: DataFrame, dim: int, n_labels: int, gamma: float = 1.0) -> DataFrame:
+    """One-against-all regression of costs on [context, 1]: row j of (id, v) predicts the cost of label j (``costs(row_id, id, cost)``)."""
     x = contexts.select("row_id", F.posexplode(F.concat("v", F.array(F.lit(1.0)))).alias("id", "val"))
     return linalg.ridge(x, costs.select("row_id", "id", F.col("cost").alias("val")), dim + 1, n_labels, gamma)
 
@@ -96,6 +97,57 @@ def cost_scores(predicted: DataFrame) -> DataFrame:
     return predicted.withColumn("score", lift)
 
 
+def matching_scores(model, candidates: DataFrame) -> DataFrame:
+    """Adds ``score`` to ``candidates(…, ctx, v)``: the chance that the pair fits its context, as ``matching_network`` has
+    learned it from ``matching_features``; null for pairs without parameters."""
+    scored = classify(model, candidates.where("v is not null").withColumn("pair", F.col("v")).withColumn("v", matching_features(F.col("ctx"), F.col("v"))))
+    scored = scored.select(*[F.col(c) if c != "v" else F.col("pair").alias("v") for c in candidates.columns], F.col("probs")[1].alias("score"))
+    return scored.unionByName(candidates.where("v is null").withColumn("score", F.lit(None).cast("double")))
+
+
+def matching_features(context: Column, pair: Column) -> Column:
+    """Unit context, unit pair, and their products, in which a network of one layer sees their angle."""
+    a, b = unit(context), unit(pair)
+    return F.concat(a, b, F.zip_with(a, b, lambda x, y: x * y))
+
+
+def regression_scores(betas: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Adds ``score`` to ``candidates(row_id, …, ctx, label)``: minus the cost that ``cost_regression`` predicts for the
+    label (``betas(id, v)``, one row a label); null for labels without one."""
+    met = candidates.join(betas.select(F.col("id").alias("label"), F.col("v").alias("beta")), "label", "left")
+    with_one = F.concat("ctx", F.array(F.lit(1.0)))
+    cost = F.aggregate(F.zip_with(with_one, F.col("beta"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    predicted = met.withColumn("cost", cost).drop("beta")
+    best = F.min(F.struct(F.col("cost").isNull(), "cost", "label")).over(Window.partitionBy("row_id"))["label"]
+    return cost_scores(predicted.withColumn("chosen", F.col("label") == best)).drop("cost", "chosen")
+
+
+def label_scores(model, candidates: DataFrame) -> DataFrame:
+    """Adds ``score`` to ``candidates(…, ctx, label)``: the classifier's probability of the candidate's label; null for
+    labels it doesn't know."""
+    scored = classify(model, candidates.withColumn("v", F.col("ctx")))
+    return scored.select(*candidates.columns, F.try_element_at("probs", (F.col("label") + 1).cast("int")).alias("score"))
+
+
+def skipgram_model(contexts: DataFrame, pairs: DataFrame, rows: DataFrame, rank: int) -> DataFrame:
+    """(row_id, src, tgt, score): candidates of ``rows(row_id, src, feature)`` by skip-gram vectors.
+
+    ``contexts(key, v)`` and ``pairs(src, tgt, v)`` are read from files and not trained. A row's context is the sum of its
+    known features' vectors, zero without any.
+    """
+    known = rows.join(contexts.select(F.col("key").alias("feature"), F.col("v").alias("x")), "feature", "left")
+    sums = sum_vectors(known.select("row_id", F.coalesce("x", F.array_repeat(F.lit(0.0), rank)).alias("x")), ["row_id"], "x", "ctx")
+    cands = rows.select("row_id", "src").distinct().join(pairs.select("src", "tgt", "v"), "src").join(sums, "row_id")
+    return cands.select("row_id", "src", "tgt", scoring.skipgram_score(F.col("ctx"), F.col("v"), rank).alias("score"))
+
+
+def svm_lines(contexts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(row_id, line): ``id dim:value …``, both from 1, of ``contexts(row_id, v)`` whose row has exactly one of ``ids(row_id, id)``."""
+    one = ids.groupBy("row_id").agg(F.count("*").alias("k"), F.max("id").alias("id")).where("k = 1")
+    entries = F.transform(scoring.printed_all(F.col("v"), "%.5g"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(":"), x))
+    return contexts.join(one, "row_id").select("row_id", F.concat((F.col("id") + 1).cast("string"), F.lit(" "), F.array_join(entries, " ")).alias("line"))
+
+
 def indicator_features(features: DataFrame, source: Column | None = None) -> DataFrame:
     """Sparse indicators ``L{id}`` and ``R{id}`` per row, label-dependent ones with ``_{source}`` behind."""
     name = F.concat("side", F.col("id").cast("string"))

@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.numbering import running_total
 from ..functions.text import printed
-from ..functions.vectors import cosine, dot, outer, unit
+from ..functions.vectors import cosine, dot, unit
 
 
 def candidates(rows: DataFrame, inventory: DataFrame, params: DataFrame) -> DataFrame:
@@ -120,7 +120,14 @@ def post_processed(scored: DataFrame, group: list[str], normalise: str = "none",
 
 
 def second_order(context: Column, pair: Column) -> Column:
-    return outer(context, pair)
+    """``op{i}=%.3g …`` of the outer product, row by row, of the values as they are printed; null without one of them."""
+
+    def show(contexts: pd.Series, pairs: pd.Series) -> pd.Series:
+        seen = lambda v: [float(f"{x:.3g}") for x in v]
+        both = [None if c is None or p is None else [x * y for x in seen(c) for y in seen(p)] for c, p in zip(contexts, pairs, strict=True)]
+        return pd.Series([None if v is None else " ".join(f"op{i}={x:.3g}" for i, x in enumerate(v)) for v in both], dtype=object)
+
+    return F.pandas_udf(show, StringType())(context, pair)
 
 
 def representation(prefix: str, vector: Column) -> Column:
@@ -136,7 +143,7 @@ def printed_all(vector: Column, spec: str) -> Column:
 
 
 def rule_line(scored: DataFrame, log: bool = False, flags: bool = True, plain: bool = False, best: bool = False, logistic_feature: bool = False) -> DataFrame:
-    """Adds ``line``: ``lhs ||| src ||| tgt ||| features`` from the columns of ``post_processed``; repeated lines go."""
+    """Adds ``line``: ``lhs ||| src ||| tgt ||| features`` from the columns of ``post_processed``."""
     has = F.col("shown").isNotNull()
     parts: list[Column] = []
     if flags:
