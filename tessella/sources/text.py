@@ -10,9 +10,16 @@ from ..functions.vectors import unit
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, value): the lines of one text file with their numbers from 0. The format has no key but the line number."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(lines, "n long, value string")
+    """(n, value): the lines of one text file with their numbers from 0. The format has no key but the line number.
+
+    Lines of a block of the file have consecutive row numbers, so a table of the blocks' first rows and counts, as small
+    as the list of its splits, gives every line its number without a sort.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("many"), F.min("at").alias("first"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", "first", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("start"))
+    return lines.join(F.broadcast(starts), ["file", "block"]).select((F.col("start") + F.col("at") - F.col("first")).alias("n"), "value")
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -49,13 +56,16 @@ def sentence_grammars(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def word_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(key, v): lines of more than two fields, unit length; a zero vector stays zero."""
-    words = tokens(F.col("value"))
-    rows = spark.read.text(path).select(words.alias("w")).where(F.size("w") > 2)
+def vectors_of(lines: DataFrame) -> DataFrame:
+    """(key, v) of ``lines(value)``: those of more than two fields, unit length; a zero vector stays zero."""
+    rows = lines.select(tokens(F.col("value")).alias("w")).where(F.size("w") > 2)
     return rows.select(F.col("w")[0].alias("key"), unit(F.transform(F.slice("w", 2, F.size("w") - 1), lambda x: x.cast("double"))).alias("v"))
 
 
+def word_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return vectors_of(spark.read.text(path))
+
+
 def skipgram_vectors(spark: SparkSession, path: str) -> DataFrame:
     """As ``word_vectors``; the header of two fields gives the rank, and ``<s>`` is the zero vector."""
     header = spark.read.text(path).select(tokens(F.col("value")).alias("w")).where(F.size("w") == 2).select(F.col("w")[1].cast("int").alias("rank"))
