@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import chart as ch
 from ..operators import counting as cnt
+from ..operators import features as feat
 from ..sources import proxies as px
-from .count_plans import RANKED
+from .count_plans import _two_word_pairs
 from .text_plans import _with
 
 
@@ -15,13 +16,24 @@ def _sentences(spark, sf):
     return px.corpus(spark, sf).select("sent_id", F.col("src").alias("words"))
 
 
+def _phrase_counts(spark, sf):
+    """Counts of lexical pairs and of neighbouring ones joined to phrases of two words."""
+    pairs = px.phrase_pairs(spark, sf)
+    return cnt.pair_counts(pairs.select("src", "tgt").unionByName(_two_word_pairs(spark, sf)))
+
+
 def _inventory(spark, sf):
-    """The two most frequent targets of every second source word: about half of the words stay unknown."""
-    return cnt.top_targets(px.counts(spark, sf), 2).where(F.length("src") % 2 == 0)
+    """The two most frequent targets of every phrase, of pairs that occur more than once: words of rarer pairs stay unknown."""
+    return cnt.top_targets(_phrase_counts(spark, sf).where("n > 1"), 2)
 
 
-INVENTORY = RANKED + ", inv AS (SELECT src, tgt FROM r WHERE rn <= 2 AND length(src) % 2 = 0), snt AS (SELECT sent_id, src AS words, len(src) AS n FROM corpus)"
-UNITS = ", units AS (SELECT sent_id, unnest(words) AS src, generate_subscripts(words, 1) - 1 AS i FROM snt)"
+INVENTORY = """, two AS (SELECT a.src || ' ' || b.src AS src, a.tgt || ' ' || b.tgt AS tgt FROM pp a JOIN pp b ON a.sent_id = b.sent_id AND b.ord = a.ord + 1),
+pc AS (SELECT src, tgt, count(*) AS n FROM (SELECT src, tgt FROM pp UNION ALL SELECT src, tgt FROM two) GROUP BY ALL),
+inv AS (SELECT src, tgt FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, tgt) AS rn FROM pc WHERE n > 1) WHERE rn <= 2),
+snt AS (SELECT sent_id, src AS words, len(src) AS n FROM corpus),
+units AS (SELECT sent_id, unnest(words) AS src, generate_subscripts(words, 1) - 1 AS i FROM snt),
+spans AS (SELECT sent_id, i, i + 1 AS j, src FROM units UNION ALL SELECT a.sent_id, a.i, a.i + 2, a.src || ' ' || b.src FROM units a JOIN units b ON a.sent_id = b.sent_id AND b.i = a.i + 1),
+lex AS (SELECT sent_id, i, j, src, tgt FROM spans JOIN inv USING (src))"""
 
 
 def _spans(spark, sf):
@@ -34,7 +46,7 @@ def g2_lexical_edges(spark, sf):
     return ch.lexical_edges(spans, inventory)
 
 
-G2 = _with(INVENTORY + UNITS + " SELECT sent_id, i::INT AS i, (i + 1)::INT AS j, src, tgt FROM units JOIN inv USING (src)")
+G2 = _with(INVENTORY + " SELECT sent_id, i::INT AS i, j::INT AS j, src, tgt FROM lex")
 
 
 def g3_unknown_edges(spark, sf):
@@ -42,7 +54,7 @@ def g3_unknown_edges(spark, sf):
     return ch.unknown_edges(spans, inventory)
 
 
-G3 = _with(INVENTORY + UNITS + " SELECT sent_id, i::INT AS i, (i + 1)::INT AS j, src FROM units WHERE src NOT IN (SELECT src FROM inv)")
+G3 = _with(INVENTORY + " SELECT sent_id, i::INT AS i, (i + 1)::INT AS j, src FROM units WHERE src NOT IN (SELECT src FROM inv)")
 
 
 def g4_binary_edges(spark, sf):
@@ -79,7 +91,7 @@ def g9_unknown_rules(spark, sf):
     return ch.unknown_rules(ch.unknown_edges(spans, inventory))
 
 
-G9 = _with(INVENTORY + UNITS + " SELECT sent_id, format('[X_{}_{}] ||| <unk> ||| {} ||| PassThrough=1', i, i + 1, src) AS line FROM units WHERE src NOT IN (SELECT src FROM inv)")
+G9 = _with(INVENTORY + " SELECT sent_id, format('[X_{}_{}] ||| <unk> ||| {} ||| PassThrough=1', i, i + 1, src) AS line FROM units WHERE src NOT IN (SELECT src FROM inv)")
 
 
 def g10_copy_rules(spark, sf):
@@ -87,7 +99,7 @@ def g10_copy_rules(spark, sf):
     return ch.copy_rules(ch.lexical_edges(spans, inventory))
 
 
-G10 = _with(INVENTORY + UNITS + " SELECT sent_id, format('[X_{}_{}] ||| {} ||| {} ||| PassThrough=1', i, i + 1, src, src) AS line FROM units WHERE src IN (SELECT src FROM inv)")
+G10 = _with(INVENTORY + " SELECT sent_id, format('[X_{}_{}] ||| {} ||| {} ||| PassThrough=1', i, i + 1, src, src) AS line FROM units WHERE src IN (SELECT src FROM inv)")
 
 
 def g11_top_rules(spark, sf):
@@ -99,22 +111,40 @@ G11 = _with(INVENTORY + " SELECT sent_id, format('[S] ||| [X_0_{}] ||| [1] ||| 0
 
 def g13_failures(spark, sf):
     s = _sentences(spark, sf).withColumn("words", F.when(F.col("sent_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.col("words")))
-    return ch.failures(s, ch.nodes(s))
+    return ch.failures(s)
 
 
 G13 = _with(INVENTORY + " SELECT sent_id FROM snt WHERE sent_id % 3 = 0 OR n = 0")
 
 
+def _scored_lines(spark, sf):
+    """Scored rules of all spans: candidates by P(tgt | src), softmax among a span's."""
+    spans, inventory = _spans(spark, sf)
+    frequencies = feat.relative_frequencies(_phrase_counts(spark, sf)).select("src", "tgt", F.col("log_e_f").alias("score"))
+    return ch.scored_rules(ch.lexical_edges(spans, inventory).join(frequencies, ["src", "tgt"]), normalise="exp", best=True)
+
+
+def g12_scored_rules(spark, sf):
+    return _scored_lines(spark, sf)
+
+
+SCORED_LINES = """, fq AS (SELECT src, tgt, log10(n::DOUBLE / sum(n) OVER (PARTITION BY src)) AS s FROM pc),
+sc AS (SELECT sent_id, i, j, src, tgt, exp(s) / sum(exp(s)) OVER (PARTITION BY sent_id, i, j) AS p FROM lex JOIN fq USING (src, tgt)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY sent_id, i, j ORDER BY p DESC, tgt) AS place FROM sc),
+scored AS (SELECT sent_id, format('[X_{}_{}] ||| {} ||| {} ||| cca_on=1 cca_score=', i, j, src, tgt) || printf('%.5g', p) || CASE WHEN place = 1 THEN ' cca_best=1' ELSE '' END AS line FROM rk)"""
+G12_SCORED = _with(INVENTORY + SCORED_LINES + " SELECT sent_id, line FROM scored")
+
+
 def g12_grammar(spark, sf):
-    """The whole grammar of every sentence, counted by sentence and kind of line."""
-    lines = ch.grammar(_sentences(spark, sf), _inventory(spark, sf))
+    """The whole grammar of every sentence: each line, but glue lines as counts of the two kinds."""
+    lines = ch.grammar(_sentences(spark, sf), _inventory(spark, sf), _scored_lines(spark, sf))
     kind = F.element_at(F.split("line", r" \|\|\| "), -1)
-    return lines.groupBy("sent_id", kind.alias("kind")).agg(F.count("*").alias("n"))
+    return lines.groupBy("sent_id", F.when(kind.startswith("Glue=1"), kind).otherwise(F.col("line")).alias("line")).agg(F.count("*").alias("n"))
 
 
-G12 = _with(INVENTORY + UNITS + """ SELECT sent_id, 'Glue=1' AS kind, (n + 1) * n * (n - 1) // 6 AS n FROM snt WHERE n > 1 UNION ALL
-SELECT sent_id, 'Glue=1 Inverse=1', (n + 1) * n * (n - 1) // 6 FROM snt WHERE n > 1 UNION ALL SELECT sent_id, '0', 1 FROM snt WHERE n > 0 UNION ALL
-SELECT sent_id, 'PassThrough=1', n FROM snt WHERE n > 0""")
+G12 = _with(INVENTORY + SCORED_LINES + """ SELECT sent_id, 'Glue=1' AS line, (n + 1) * n * (n - 1) // 6 AS n FROM snt WHERE n > 1 UNION ALL
+SELECT sent_id, 'Glue=1 Inverse=1', (n + 1) * n * (n - 1) // 6 FROM snt WHERE n > 1 UNION ALL SELECT sent_id, format('[S] ||| [X_0_{}] ||| [1] ||| 0', n), 1 FROM snt WHERE n > 0 UNION ALL
+SELECT sent_id, format('[X_{}_{}] ||| {} ||| {} ||| PassThrough=1', i, i + 1, CASE WHEN src IN (SELECT src FROM inv) THEN src ELSE '<unk>' END, src), 1 FROM units UNION ALL SELECT DISTINCT sent_id, line, 1 FROM scored""")
 
 QUERIES = {
     "g2_lexical_edges": (g2_lexical_edges, G2),
@@ -125,6 +155,7 @@ QUERIES = {
     "g9_unknown_rules": (g9_unknown_rules, G9),
     "g10_copy_rules": (g10_copy_rules, G10),
     "g11_top_rules": (g11_top_rules, G11),
+    "g12_scored_rules": (g12_scored_rules, G12_SCORED),
     "g12_grammar": (g12_grammar, G12),
     "g13_failures": (g13_failures, G13),
 }

@@ -90,8 +90,7 @@ vocab AS (
 
 
 def a7_context_vocabulary(spark, sf):
-    features = _features(spark, sf).withColumn("at", F.col("row_id") * 256 + F.when(F.col("side") == "R", 128).otherwise(0) + F.col("pos"))
-    return cnt.vocabulary(features, 1, "feature", "at")
+    return cnt.context_vocabulary(_features(spark, sf), 1)
 
 
 A7 = _context_sql(2) + FEAT + " SELECT type, id FROM vocab"
@@ -163,8 +162,11 @@ A13 = _context_sql(2) + CELLS + PAIRS + " SELECT row_id, id, val FROM cells WHER
 
 
 def a14_held_out(spark, sf):
-    rows = px.occurrences(spark, sf).select("row_id")
-    return cnt.held_out(rows, 0.1)
+    return cnt.held_out(px.occurrences(spark, sf).select("row_id"), 0.1)
+
+
+A14 = _with(""", n AS (SELECT count(*) AS n FROM occ),
+h AS (SELECT row_id, row_number() OVER (ORDER BY md5(row_id || ':42'), row_id) AS place FROM occ) SELECT row_id FROM h, n WHERE place <= floor(n * 0.1)""")
 
 
 def a15_column_sums(spark, sf):
@@ -197,6 +199,13 @@ def f3_f6_rule_features(spark, sf):
     return _rounded(feat.rule_features(px.counts(spark, sf)), "e_given_f", "sample_count_f", "count_ef")
 
 
+def f4_f5_without_add_one(spark, sf):
+    out = feat.rule_features(px.counts(spark, sf), add_one=False).select("src", "tgt", "sample_count_f", "count_ef")
+    return _rounded(out, "sample_count_f", "count_ef")
+
+
+F4 = _with(" SELECT src, tgt, round(log10(sum(n) OVER (PARTITION BY src)), 6) AS sample_count_f, round(log10(n), 6) AS count_ef FROM counts")
+
 RULES = """, totals AS (SELECT src, sum(n) AS total, count(*) AS types FROM counts GROUP BY src),
 rules AS (SELECT src, tgt, -log10(n::DOUBLE / total) AS e_given_f, log10(total + types) AS sample_count_f, log10(n + 1) AS count_ef,
   (total = 1)::INT AS is_singleton_f, (n = 1)::INT AS is_singleton_fe FROM counts JOIN totals USING (src))"""
@@ -225,15 +234,50 @@ f2 AS (SELECT src, tgt, sum(coalesce(-log10(p), 99)) AS v FROM f1 GROUP BY src,
 SELECT src, tgt, CASE WHEN e2.v < 99 THEN round(e2.v, 6) END AS max_lex_e_f, CASE WHEN f2.v < 99 THEN round(f2.v, 6) END AS max_lex_f_e FROM e2 JOIN f2 USING (src, tgt)""")
 
 
+def _grammar_rules(spark, sf):
+    """Lines as decoders emit them: phrase rules, rules with a non-terminal, unknown words, copies."""
+    pairs = px.phrase_pairs(spark, sf)
+    kind = F.col("ord") % 7
+    nt = F.when(kind == 3, F.lit(" [X_0_1]")).otherwise(F.lit(""))
+    return pairs.select(
+        "sent_id", "ord", F.lit("[X]").alias("lhs"), F.when(kind == 5, F.lit("<unk>")).otherwise(F.concat("src", nt)).alias("src"), F.concat("tgt", nt).alias("tgt"),
+        F.when(kind.isin(0, 5), "PassThrough=1").otherwise("f=1").alias("features"),
+    )
+
+
+LINES = RULES + """, g AS (SELECT sent_id, ord, CASE WHEN ord % 7 = 5 THEN '<unk>' WHEN ord % 7 = 3 THEN src || ' [X_0_1]' ELSE src END AS src,
+  CASE WHEN ord % 7 = 3 THEN tgt || ' [X_0_1]' ELSE tgt END AS tgt, CASE WHEN ord % 7 IN (0, 5) THEN 'PassThrough=1' ELSE 'f=1' END AS features FROM pp),
+w AS (SELECT sent_id, ord, src = '<unk>' AS unk, CASE WHEN src = '<unk>' THEN tgt ELSE src END AS src, tgt, features, src || tgt LIKE '%[%]%' AS nt FROM g),
+k AS (SELECT w.*, CASE WHEN NOT unk AND NOT nt AND features <> 'PassThrough=1' AND is_singleton_f IS NOT NULL THEN
+  CASE WHEN e_given_f = 0 THEN ' EgivenF=-0.0' ELSE printf(' EgivenF=%.11f', e_given_f) END ||
+  printf(' SampleCountF=%.11f CountEF=%.11f IsSingletonF=%d IsSingletonFE=%d', sample_count_f, count_ef, is_singleton_f, is_singleton_fe) ELSE '' END AS counted FROM w LEFT JOIN rules USING (src, tgt))"""
+
+
 def f10_featurised_rules(spark, sf):
-    rules = px.phrase_pairs(spark, sf).select("sent_id", F.lit("[X]").alias("lhs"), "src", F.when(F.col("ord") % 5 == 0, "<unk>").otherwise(F.col("tgt")).alias("tgt"), F.lit(None).cast("string").alias("word"), F.when(F.col("ord") % 7 == 0, "PassThrough=1").otherwise("f=1").alias("features"))
-    return feat.featurised_rules(rules, px.counts(spark, sf)).select("sent_id", "line")
+    return feat.featurised_rules(_grammar_rules(spark, sf), px.counts(spark, sf)).select("sent_id", "line")
+
+
+F10 = _with(LINES + " SELECT sent_id, '[X] ||| ' || src || ' ||| ' || tgt || ' ||| ' || features || counted AS line FROM k")
+
+
+def f9_lexical_rules(spark, sf):
+    """The same lines with lexical features, of a table in which frequent words also come of nothing (``NULL``)."""
+    counts = px.counts(spark, sf)
+    table = feat.lexical_table(counts).select("f", "e", F.round("p_ef", 9).alias("p_ef"), F.round("p_fe", 9).alias("p_fe"))
+    loose = counts.groupBy("tgt").agg(F.sum("n").alias("n")).where("n > 20").select(F.lit("NULL").alias("f"), F.col("tgt").alias("e"), F.lit(0.05).alias("p_ef"), F.lit(0.0).alias("p_fe"))
+    return feat.featurised_rules(_grammar_rules(spark, sf), counts, table.unionByName(loose)).select("sent_id", "line")
 
 
-F10 = _with(RULES + """, r AS (SELECT sent_id, src, CASE WHEN ord % 5 = 0 THEN src ELSE tgt END AS tgt, CASE WHEN ord % 7 = 0 THEN 'PassThrough=1' ELSE 'f=1' END AS features FROM pp)
-SELECT sent_id, '[X] ||| ' || src || ' ||| ' || tgt || ' ||| ' || features || CASE WHEN features = 'f=1' AND is_singleton_f IS NOT NULL THEN
-  printf(' EgivenF=%.11f SampleCountF=%.11f CountEF=%.11f IsSingletonF=%d IsSingletonFE=%d', e_given_f, sample_count_f, count_ef, is_singleton_f, is_singleton_fe) ELSE '' END AS line
-FROM r LEFT JOIN rules USING (src, tgt)""")
+F9 = _with(LINES + """, tt AS (SELECT src AS f, tgt AS e, round(n::DOUBLE / sum(n) OVER (PARTITION BY src), 9) AS p_ef, round(n::DOUBLE / sum(n) OVER (PARTITION BY tgt), 9) AS p_fe FROM counts
+  UNION ALL SELECT 'NULL', tgt, 0.05, 0.0 FROM counts GROUP BY tgt HAVING sum(n) > 20),
+u AS (SELECT DISTINCT src, tgt, string_split(src, ' ') AS fs, string_split(tgt, ' ') AS es FROM k WHERE features <> 'PassThrough=1'),
+fe AS (SELECT src, tgt, i, max(p_fe) AS p FROM (SELECT src, tgt, es, unnest(fs) AS f, generate_subscripts(fs, 1) AS i FROM u) x LEFT JOIN tt ON tt.f = x.f AND list_contains(list_append(x.es, 'NULL'), tt.e) GROUP BY ALL),
+ef AS (SELECT src, tgt, i, max(p_ef) AS p FROM (SELECT src, tgt, fs, unnest(es) AS e, generate_subscripts(es, 1) AS i FROM u) x LEFT JOIN tt ON tt.e = x.e AND list_contains(list_append(x.fs, 'NULL'), tt.f) GROUP BY ALL),
+a AS (SELECT src, tgt, sum(CASE WHEN p > 0 THEN -log10(p) ELSE 99 END) AS v FROM fe GROUP BY ALL), b AS (SELECT src, tgt, sum(CASE WHEN p > 0 THEN -log10(p) ELSE 99 END) AS v FROM ef GROUP BY ALL)
+SELECT sent_id, '[X] ||| ' || k.src || ' ||| ' || k.tgt || ' ||| ' || features || counted ||
+  CASE WHEN features <> 'PassThrough=1' AND a.v < 99 THEN printf(' MaxLexFgivenE=%.11f', a.v + 0.0) ELSE '' END ||
+  CASE WHEN features <> 'PassThrough=1' AND b.v < 99 THEN printf(' MaxLexEgivenF=%.11f', b.v + 0.0) ELSE '' END AS line
+FROM k LEFT JOIN a ON a.src = k.src AND a.tgt = k.tgt LEFT JOIN b ON b.src = k.src AND b.tgt = k.tgt""")
 
 
 def f11_filtered_rules(spark, sf):
@@ -257,13 +301,15 @@ QUERIES = {
     "a11_centred": (a11_centred, A11),
     "a12_non_empty_rows": (a12_non_empty_rows, A12),
     "a13_row_subset": (a13_row_subset, A13),
-    "a14_held_out": (a14_held_out, None),
+    "a14_held_out": (a14_held_out, A14),
     "a15_column_sums": (a15_column_sums, A15),
     "a16_sign_means": (a16_sign_means, A16),
     "f1_f2_relative_frequencies": (f1_f2_relative_frequencies, _with(SHARES)),
     "f1_item_frequencies": (f1_item_frequencies, ITEMS + SHARES),
     "f3_f6_rule_features": (f3_f6_rule_features, F3),
+    "f4_f5_without_add_one": (f4_f5_without_add_one, F4),
     "f7_f8_lexical_features": (f7_f8_lexical_features, F7),
+    "f9_lexical_rules": (f9_lexical_rules, F9),
     "f10_featurised_rules": (f10_featurised_rules, F10),
     "f11_filtered_rules": (f11_filtered_rules, F11),
 }

@@ -10,23 +10,24 @@ from ..operators import context as con
 from ..operators import counting as cnt
 from ..operators import linalg as la
 from ..operators import models as mo
+from ..operators import scoring as sc
 from ..sources import proxies as px
 from .count_plans import LONG, _rounded
-from .score_plans import CHANNEL, SCORED, _channel, cosine_scored
+from .score_plans import CHANNEL, SCORED, _channel, cosine_scored, label_means
 from .text_plans import DICTIONARY, _context_sql, _with, word_vectors
 
 
 def _views(spark, sf):
-    """The two halves of the vectors as sparse matrices of 16 columns each, and labels as one-hot columns."""
+    """The two halves of the vectors as sparse matrices of 32 columns each, and labels as one-hot columns."""
     vec = px.vectors(spark, sf)
-    cells = vec.select(F.col("vec_id").alias("row_id"), F.posexplode(F.slice("v", 1, 32)).alias("i", "val"), "label")
-    x = cells.where("i < 16").select("row_id", F.col("i").cast("long").alias("id"), "val")
-    y = cells.where("i >= 16").select("row_id", (F.col("i") - 16).cast("long").alias("id"), "val")
+    cells = vec.select(F.col("vec_id").alias("row_id"), F.posexplode("v").alias("i", "val"), "label")
+    x = cells.where("i < 32").select("row_id", F.col("i").cast("long").alias("id"), "val")
+    y = cells.where("i >= 32").select("row_id", (F.col("i") - 32).cast("long").alias("id"), "val")
     z = vec.select(F.col("vec_id").alias("row_id"), F.col("label").cast("long").alias("id"), F.lit(1.0).alias("val"))
     return x, y, z
 
 
-XY = LONG + """, x AS (SELECT vec_id AS row_id, i AS id, x AS val FROM long WHERE i < 16), y AS (SELECT vec_id AS row_id, i - 16 AS id, x AS val FROM long WHERE i BETWEEN 16 AND 31),
+XY = LONG + """, x AS (SELECT vec_id AS row_id, i AS id, x AS val FROM long WHERE i < 32), y AS (SELECT vec_id AS row_id, i - 32 AS id, x AS val FROM long WHERE i >= 32),
 z AS (SELECT vec_id AS row_id, label::BIGINT AS id, 1.0::DOUBLE AS val FROM vec),
 xy AS (SELECT x.id AS i, y.id AS j, sum(x.val * y.val) AS val FROM x JOIN y USING (row_id) GROUP BY ALL)"""
 
@@ -97,29 +98,30 @@ def _values(spark, **columns):
 
 def l5_identity_svd(spark, sf):
     x, y, _ = _views(spark, sf)
-    _, _, s = la.fit_cca(x, y, 16, 16, 5, 0.0, 0.0, "identity")
+    _, _, s = la.fit_cca(x, y, 32, 32, 5, 0.0, 0.0, "identity")
     return _values(spark, k=np.arange(5), sigma=np.round(s, 6))
 
 
 def l6_cca(spark, sf):
     """Canonical correlations with a ridge, and how far the projections are from whitening the views (0 up to the ridge)."""
     x, y, _ = _views(spark, sf)
-    u, v, s = la.fit_cca(x, y, 16, 16, 5, 1e-5, 1e-5)
-    xx = la.dense(la.cross_covariance(x, x), 16, 16)
-    off = np.abs(u.T @ (xx + 1e-5 * np.eye(16)) @ u - np.eye(5)).max(axis=1)
+    left, _, s = la.fit_cca(x, y, 32, 32, 5, 1e-5, 1e-5)
+    u = la.as_array(left, 32)
+    xx = la.dense(la.cross_covariance(x, x), 32, 32)
+    off = np.abs(u.T @ (xx + 1e-5 * np.eye(32)) @ u - np.eye(5)).max(axis=1)
     return _values(spark, k=np.arange(5), correlation=np.round(s, 6), off=np.round(off, 6))
 
 
 def l7_ridge(spark, sf):
     """Fitted values of labels by vectors: residual sum and the normal equations' largest violation."""
     x, _, z = _views(spark, sf)
-    beta = la.ridge(x, z, 16, 10, 1.0)
-    return _values(spark, feature=np.arange(16), label0=np.round(beta[:, 0], 6), label9=np.round(beta[:, 9], 6))
+    beta = la.as_array(la.ridge(x, z, 32, 10, 1.0), 10).T
+    return _values(spark, feature=np.arange(32), label0=np.round(beta[:, 0], 6), label9=np.round(beta[:, 9], 6))
 
 
 def l8_randomised_svd(spark, sf):
     x, y, _ = _views(spark, sf)
-    _, s, _ = la.randomised_svd(la.cross_covariance(x, y), 5, extra=6)
+    _, s, _ = la.randomised_svd(la.cross_covariance(x, y), 5, extra=16, passes=3)
     return _values(spark, k=np.arange(5), sigma=np.round(s, 5))
 
 
@@ -129,17 +131,17 @@ def l9_projection(spark, sf):
     vocab, cells = cnt.context_matrix(con.context_features(rows), 1)
     table = vocab.join(word_vectors(spark, sf).withColumnRenamed("key", "type"), "type").select("id", "v")
     out = la.projected(cells, table)
-    return out.select("row_id", F.round(F.col("v")[0], 6).alias("v0"), F.round(F.col("v")[7], 6).alias("v7"))
+    return out.select("row_id", F.round(F.col("v")[0], 6).alias("v0"), F.round(F.col("v")[63], 6).alias("v63"))
 
 
 L9 = _context_sql(2) + DICTIONARY + """, known AS (SELECT feature FROM feat GROUP BY feature HAVING count(*) > 1)
-SELECT row_id, round(sum(v[1]), 6) AS v0, round(sum(v[8]), 6) AS v7 FROM feat JOIN known USING (feature) JOIN dict ON key = feature GROUP BY row_id"""
+SELECT row_id, round(sum(v[1]), 6) AS v0, round(sum(v[64]), 6) AS v63 FROM feat JOIN known USING (feature) JOIN dict ON key = feature GROUP BY row_id"""
 
 
 def l10_concatenated(spark, sf):
     rows = con.with_context(px.occurrences(spark, sf), 2)
     features = con.context_features(rows).where("side = 'L'")
-    vocab = cnt.vocabulary(features.withColumn("spot", F.col("row_id") * 256 + F.col("pos")), 1, "feature", "spot")
+    vocab = cnt.context_vocabulary(features, 1)
     ids = features.join(vocab.withColumnRenamed("type", "feature"), "feature").select("row_id", "pos", "id")
     table = vocab.select("id", F.array((F.col("id") + 1).cast("double"), (F.col("id") * 2).cast("double")).alias("v"))
     out = la.concatenated_projection(ids, table, 2, 3)
@@ -188,15 +190,15 @@ L15 = _with(LONG + " SELECT label::INT AS label, i::INT AS i, round(sum(x), 6) A
 def m2_two_step_cca(spark, sf):
     """Correlations of the halves' joint space with labels, after a first step of rank 4."""
     x, y, z = _views(spark, sf)
-    model = mo.two_step_cca(x, y, z, (16, 16, 10), (4, 5))
+    model = mo.two_step_cca(x, y, z, (32, 32, 10), (4, 5))
     return _values(spark, k=np.arange(5), correlation=np.round(model["correlations"], 6))
 
 
 def m3_glm(spark, sf):
     vec = px.vectors(spark, sf)
-    contexts = vec.select(F.col("vec_id").alias("row_id"), F.slice("v", 1, 16).alias("v"))
-    beta = mo.glm(contexts, _views(spark, sf)[2], 16, 10, 1.0)
-    return _values(spark, feature=np.arange(17), label0=np.round(beta[:, 0], 6), label9=np.round(beta[:, 9], 6))
+    contexts = vec.select(F.col("vec_id").alias("row_id"), "v")
+    beta = la.as_array(mo.glm(contexts, _views(spark, sf)[2], 64, 10, 1.0), 10).T
+    return _values(spark, feature=np.arange(65), label0=np.round(beta[:, 0], 6), label9=np.round(beta[:, 9], 6))
 
 
 def m4_shrinkage(spark, sf):
@@ -225,17 +227,89 @@ def m6_hard_rows(spark, sf):
 M6 = _with(CHANNEL + " SELECT row_id FROM channel WHERE variant = 'lm' GROUP BY row_id HAVING min(-score) FILTER (tgt = gold) > min(-score)")
 
 
-def _accuracy(model, rows):
-    out = mo.classify(model, rows)
-    return out.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+def _parted(spark, sf):
+    """Candidates of all rows, and of them those of rows to learn from and to score: a tenth is held out."""
+    cands = cosine_scored(spark, sf).withColumn("label", F.col("tgt").cast("long"))
+    held = cnt.held_out(px.vectors(spark, sf).select(F.col("vec_id").alias("row_id")), 0.1)
+    return cands.join(held, "row_id", "left_anti"), cands.join(held, "row_id", "left_semi")
+
+
+def _candidate_scores(scored):
+    return _rounded(scored.select("row_id", "tgt", "score", "is_gold"), "score")
 
 
 def m7_matching_network(spark, sf):
-    """Gold and other pairs told apart from context and pair vectors side by side: accuracy by label."""
-    cands = cosine_scored(spark, sf).where("v is not null")
-    pairs = mo.matching_set(cands.select("row_id", "tgt", "is_gold"))
-    rows = pairs.join(cands.select("row_id", "tgt", F.zip_with("ctx", "v", lambda a, b: a * b).alias("v")), ["row_id", "tgt"]).select("row_id", "tgt", "other", "v", ((F.col("label") + 1) / 2).cast("int").alias("label"))
-    return _accuracy(mo.matching_network(rows, 8), rows)
+    """How well a matching network tells held-out rows' gold candidates from the others."""
+    scored = _matched(spark, sf).where("score is not null")
+    hit = ((F.col("score") > 0.5) == F.col("is_gold")).cast("double")
+    return scored.groupBy(F.col("is_gold").cast("int").alias("label")).agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"))
+
+
+def _matched(spark, sf):
+    learn, score = _parted(spark, sf)
+    known = learn.where("v is not null")
+    pairs = mo.matching_set(known.select("row_id", "tgt", "is_gold"))
+    features = known.select("row_id", "tgt", mo.matching_features(F.col("ctx"), F.col("v")).alias("v"))
+    rows = pairs.join(features, ["row_id", "tgt"]).select("v", ((F.col("label") + 1) / 2).cast("int").alias("label"))
+    return mo.matching_scores(mo.matching_network(rows, 8), score)
+
+
+def c5_matching_scores(spark, sf):
+    """Scores of held-out rows' candidates by a matching network; none for pairs without parameters."""
+    return _candidate_scores(_matched(spark, sf))
+
+
+def _regressed(spark, sf):
+    """Costs of the labels by their frequency, regressed on contexts of rows that aren't held out; label 9 isn't learned."""
+    learn, score = _parted(spark, sf)
+    sizes = px.vectors(spark, sf).groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"))
+    known = learn.where("v is not null")
+    rows = known.join(known.where("is_gold").select("row_id"), "row_id", "left_semi").join(sizes, "label")
+    costs = mo.label_costs(rows.select("row_id", "tgt", "label", "n", "is_gold")).select("row_id", F.col("label").alias("id"), "cost")
+    contexts = rows.where("is_gold").select("row_id", F.col("ctx").alias("v"))
+    return mo.regression_scores(mo.cost_regression(contexts, costs, 64, 9), score)
+
+
+def c6_regression_scores(spark, sf):
+    """Scores of held-out rows' candidates by cost-sensitive regression."""
+    return _candidate_scores(_regressed(spark, sf))
+
+
+def c7_mlp_scores(spark, sf):
+    """Scores of held-out rows' candidates by a multilayer perceptron."""
+    learn, score = _parted(spark, sf)
+    rows = learn.where("is_gold").select(F.col("ctx").alias("v"), "label")
+    return _candidate_scores(mo.label_scores(mo.mlp_classifier(rows, 16), score))
+
+
+def m12_mlp(spark, sf):
+    """Held-out accuracy of a multilayer perceptron by label."""
+    return _best_is_gold(c7_mlp_scores(spark, sf))
+
+
+def _best_is_gold(scored):
+    best = scored.groupBy("row_id").agg(F.max(F.struct("score", "tgt"))["tgt"].alias("best"), F.max(F.when(F.col("is_gold"), F.col("tgt"))).alias("gold"))
+    return best.groupBy(F.col("gold").alias("label")).agg(F.count("*").alias("n"), F.avg((F.col("best") == F.col("gold")).cast("double")).alias("accuracy"))
+
+
+def l14_second_order(spark, sf):
+    """Second-order features of the labels' mean vectors: the halves' outer product, as printed."""
+    means = label_means(px.vectors(spark, sf))
+    return means.select("label", sc.second_order(F.transform(F.slice("v", 1, 32), lambda x: F.round(x, 9)), F.transform(F.slice("v", 33, 32), lambda x: F.round(x, 9))).alias("line"))
+
+
+L14 = _with(SCORED + """, h AS (SELECT label, list_transform(m[1:32], lambda x: printf('%.3g', round(x, 9))::DOUBLE) AS a, list_transform(m[33:64], lambda x: printf('%.3g', round(x, 9))::DOUBLE) AS b FROM mv),
+o AS (SELECT label, flatten(list_transform(a, lambda x: list_transform(b, lambda y: x * y))) AS o FROM h)
+SELECT label, array_to_string(list_transform(o, lambda x, i: printf('op%d=%.3g', i - 1, x)), ' ') AS line FROM o""")
+
+
+def m1_context_cca(spark, sf):
+    """Left against right contexts of the occurrences: canonical correlations within the range of the whitened product."""
+    features = con.context_features(con.with_context(px.occurrences(spark, sf), 2))
+    sides = [features.where(F.col("side") == s) for s in "LR"]
+    cells = [cnt.context_matrix(f, 1)[1] for f in sides]
+    _, _, s = la.cca_tables(*cells, 5, 1.0, 1.0, most=256, alternations=0)
+    return _values(spark, k=np.arange(len(s)), correlation=np.round(s, 4))
 
 
 def _costs(spark, sf):
@@ -251,26 +325,18 @@ def m8_label_costs(spark, sf):
 
 M8 = _with(""", kept AS (SELECT src, tgt, n FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, tgt) AS rn FROM counts) WHERE rn <= 3),
 c AS (SELECT row_id, kept.tgt, n, kept.tgt = occ.tgt AS g FROM occ JOIN kept USING (src)), w AS (SELECT *, count(*) OVER p AS k, sum(n) OVER p - max(n) FILTER (g) OVER p AS rest, bool_or(g) OVER p AS has FROM c WINDOW p AS (PARTITION BY row_id))
-SELECT row_id, tgt, CASE WHEN g THEN 0.0::DOUBLE WHEN rest = 0 THEN (k - 1)::DOUBLE ELSE round((n + 1) * k::DOUBLE / rest, 1) END AS cost FROM w WHERE has""")
+SELECT row_id, tgt, CASE WHEN g THEN 0.0::DOUBLE ELSE round((n + 1) * k::DOUBLE / CASE WHEN rest = 0 THEN k - 1 ELSE rest END, 1) END AS cost FROM w WHERE has""")
 
 
 def m9_cost_regression(spark, sf):
-    """Labels' costs (0 for the own, 1 for others) by regression: share of vectors whose cheapest label is their own."""
-    vec = px.vectors(spark, sf)
-    contexts = vec.select(F.col("vec_id").alias("row_id"), "v")
-    costs = vec.select(F.col("vec_id").alias("row_id"), F.col("label").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("id")).withColumn("cost", (F.col("id") != F.col("own")).cast("double"))
-    beta = mo.cost_regression(contexts, costs, 64, 10)
-    table = la.as_table(spark, beta.T).select(F.col("id").alias("label"), F.col("v").alias("b"))
-    pred = contexts.join(F.broadcast(table)).withColumn("cost", dot(F.concat("v", F.array(F.lit(1.0))), F.col("b")))
-    best = pred.groupBy("row_id").agg(F.min(F.struct("cost", "label"))["label"].alias("best"))
-    met = best.join(vec.select(F.col("vec_id").alias("row_id"), "label"), "row_id")
-    return met.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("best") == F.col("label")).cast("double")).alias("accuracy"))
+    """Held-out accuracy by label of cost-sensitive regression."""
+    return _best_is_gold(_regressed(spark, sf))
 
 
 def m10_indicators(spark, sf):
     rows = con.with_context(px.occurrences(spark, sf), 1)
     features = con.context_features(rows)
-    vocab = cnt.vocabulary(features.withColumn("spot", F.col("row_id") * 256 + F.when(F.col("side") == "R", 128).otherwise(0) + F.col("pos")), 1, "feature", "spot")
+    vocab = cnt.context_vocabulary(features, 1)
     return mo.indicator_features(features.join(vocab.withColumnRenamed("type", "feature"), "feature"))
 
 
@@ -281,9 +347,12 @@ vocab AS (SELECT feature, row_number() OVER (ORDER BY spot) - 1 AS id FROM (SELE
 SELECT row_id, string_agg(DISTINCT side || id, ' ' ORDER BY side || id) AS indicators FROM feat JOIN vocab USING (feature) GROUP BY row_id"""
 
 
-def m12_mlp(spark, sf):
-    rows = px.vectors(spark, sf).select("vec_id", "v", "label")
-    return _accuracy(mo.mlp_classifier(rows, 16), rows)
+def m11_svm_lines(spark, sf):
+    vec = px.vectors(spark, sf)
+    return mo.svm_lines(vec.select(F.col("vec_id").alias("row_id"), "v"), _views(spark, sf)[2])
+
+
+M11 = _with(" SELECT vec_id AS row_id, (label + 1) || ' ' || array_to_string(list_transform(v, lambda x, i: printf('%d:%.5g', i, x)), ' ') AS line FROM vec")
 
 
 QUERIES = {
@@ -300,7 +369,12 @@ QUERIES = {
     "l10_concatenated": (l10_concatenated, L10),
     "l11_back_off": (l11_back_off, L11),
     "l12_l14_vectors": (l12_l14_vectors, L12),
+    "l14_second_order": (l14_second_order, L14),
     "l15_vector_sums": (l15_vector_sums, L15),
+    "c5_matching_scores": (c5_matching_scores, None),
+    "c6_regression_scores": (c6_regression_scores, None),
+    "c7_mlp_scores": (c7_mlp_scores, None),
+    "m1_context_cca": (m1_context_cca, None),
     "m2_two_step_cca": (m2_two_step_cca, None),
     "m3_glm": (m3_glm, None),
     "m4_shrinkage": (m4_shrinkage, M4),
@@ -310,5 +384,6 @@ QUERIES = {
     "m8_label_costs": (m8_label_costs, M8),
     "m9_cost_regression": (m9_cost_regression, None),
     "m10_indicators": (m10_indicators, M10),
+    "m11_svm_lines": (m11_svm_lines, M11),
     "m12_mlp": (m12_mlp, None),
 }

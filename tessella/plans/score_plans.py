@@ -136,10 +136,10 @@ SELECT row_id, tgt, rk::INT AS rank, CASE WHEN score IS NOT NULL THEN round(1.0:
 
 def c17_representations(spark, sf):
     vec = px.vectors(spark, sf)
-    return vec.select("vec_id", sc.representation("con", F.slice("v", 1, 8)).alias("rep"))
+    return vec.select("vec_id", sc.representation("con", F.col("v")).alias("rep"))
 
 
-C17 = _with(" SELECT vec_id, array_to_string(list_transform(v[1:8], lambda x, i: printf('con_dim%d=%.3g', i - 1, x)), ' ') AS rep FROM vec")
+C17 = _with(" SELECT vec_id, array_to_string(list_transform(v, lambda x, i: printf('con_dim%d=%.3g', i - 1, x)), ' ') AS rep FROM vec")
 
 
 def c18_sign_buckets(spark, sf):

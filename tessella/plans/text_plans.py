@@ -10,7 +10,7 @@ from ..operators.counting import top_targets
 from ..operators.extraction import lexical_pairs, tree_pairs
 from ..operators.scoring import lm_scores
 from ..sources import proxies as px
-from ..sources.sinks import GLUE, libsvm_line, merged_grammar, sgml_segment, sparse_line
+from ..sources.sinks import libsvm_line, merged_grammar, sgml_segment, sparse_line
 
 
 def _with(body: str) -> str:
@@ -33,13 +33,11 @@ S4 = _with(" SELECT sent_id, ord::INT AS ord, s::INT AS s, t::INT AS t FROM alig
 
 def s5_unit_vectors(spark, sf):
     """Vector lines as text, read back: more than two fields, unit length; reported by norm and first value."""
-    from ..functions.text import tokens
-    from ..functions.vectors import norm, unit
+    from ..functions.vectors import norm
+    from ..sources.text import vectors_of
 
     lines = px.vectors(spark, sf).select(F.concat_ws(" ", F.col("vec_id").cast("string"), F.array_join(F.transform("v", lambda x: x.cast("string")), " ")).alias("value"))
-    rows = lines.select(tokens(F.col("value")).alias("w")).where(F.size("w") > 2)
-    v = unit(F.transform(F.slice("w", 2, F.size("w") - 1), lambda x: x.cast("double")))
-    return rows.select(F.col("w")[0].alias("key"), v.alias("v")).select("key", F.round(norm(F.col("v")), 6).alias("norm"), F.round(F.col("v")[0], 6).alias("first"))
+    return vectors_of(lines).select("key", F.round(norm(F.col("v")), 6).alias("norm"), F.round(F.col("v")[0], 6).alias("first"))
 
 
 S5 = _with(" SELECT vec_id::VARCHAR AS key, round(sqrt(list_sum(list_transform(v, lambda x: x * x))) / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first FROM vec")
@@ -68,7 +66,8 @@ def s13_merged_grammar(spark, sf):
     return merged_grammar(rules)
 
 
-S13 = _with(" SELECT DISTINCT '[X] ||| ' || src || ' ||| ' || tgt || ' ||| ' AS line FROM pp UNION " + " UNION ".join(f"SELECT '{g}'" for g in GLUE))
+S13 = _with(""" SELECT DISTINCT '[X] ||| ' || src || ' ||| ' || tgt || ' ||| ' AS line FROM pp UNION SELECT '[X] ||| [X,1] [X,2] ||| [1] [2] ||| Glue=1'
+UNION SELECT '[X] ||| [X,1] [X,2] ||| [2] [1] ||| Glue=1 Inverse=1' UNION SELECT '[S] ||| [X,1] ||| [1] ||| 0'""")
 
 
 def s14_sgml(spark, sf):
@@ -155,10 +154,10 @@ def p11_both_sides(spark, sf):
 
 
 def word_vectors(spark, sf):
-    """A dictionary: the word that comes n-th in the alphabet has the vector number n modulo their count, cut to 8 dimensions."""
+    """A dictionary: the word that comes n-th in the alphabet has the vector number n modulo their count."""
     from ..functions.numbering import dense_index
 
-    vec = px.vectors(spark, sf).select("vec_id", F.slice("v", 1, 8).alias("v"))
+    vec = px.vectors(spark, sf).select("vec_id", "v")
     n = vec.agg(F.count("*").alias("n_vec"))
     words = px.occurrences(spark, sf).select("row_id", F.explode("words").alias("w")).groupBy("w").agg(F.min("row_id").alias("first"))
     placed = dense_index(words, "first", "k", ties=("w",)).join(F.broadcast(n)).withColumn("vec_id", F.col("k") % F.col("n_vec"))
@@ -166,7 +165,7 @@ def word_vectors(spark, sf):
 
 
 DICTIONARY = """, firsts AS (SELECT w, min(row_id) AS first FROM (SELECT row_id, unnest(words) AS w FROM occ) GROUP BY w),
-dict AS (SELECT w AS key, v[1:8] AS v FROM (SELECT w, row_number() OVER (ORDER BY first, w) - 1 AS k FROM firsts) JOIN vec ON vec_id = k % (SELECT count(*) FROM vec)),
+dict AS (SELECT w AS key, v FROM (SELECT w, row_number() OVER (ORDER BY first, w) - 1 AS k FROM firsts) JOIN vec ON vec_id = k % (SELECT count(*) FROM vec)),
 feat AS (
   SELECT row_id, 'L' AS side, unnest(left_con) AS feature, generate_subscripts(left_con, 1) - 1 AS pos FROM ctx
   UNION ALL SELECT row_id, 'R', unnest(right_con), generate_subscripts(right_con, 1) - 1 FROM ctx
@@ -175,23 +174,23 @@ feat AS (
 
 def p7_additive_context(spark, sf):
     features = con.context_features(con.with_context(px.occurrences(spark, sf), 2))
-    out = con.additive_context(features, word_vectors(spark, sf), 8)
-    return out.select("row_id", "side", F.round(F.col("v")[0], 6).alias("v0"), F.round(F.col("v")[7], 6).alias("v7"))
+    out = con.additive_context(features, word_vectors(spark, sf), 64)
+    return out.select("row_id", "side", F.round(F.col("v")[0], 6).alias("v0"), F.round(F.col("v")[63], 6).alias("v63"))
 
 
-P7 = _context_sql(2) + DICTIONARY + """ SELECT row_id, side, round(coalesce(sum(v[1]), 0), 6) + 0.0 AS v0, round(coalesce(sum(v[8]), 0), 6) + 0.0 AS v7
+P7 = _context_sql(2) + DICTIONARY + """ SELECT row_id, side, round(coalesce(sum(v[1]), 0), 6) + 0.0 AS v0, round(coalesce(sum(v[64]), 0), 6) + 0.0 AS v63
 FROM feat LEFT JOIN dict ON key = feature AND feature <> '<s>' GROUP BY row_id, side"""
 
 
 def p8_concat_context(spark, sf):
     features = con.context_features(con.with_context(px.occurrences(spark, sf), 2))
-    out = con.concatenated_context(features, word_vectors(spark, sf), 8, 3)
-    return out.select("row_id", "side", F.size("v").alias("n"), F.round(F.col("v")[0], 6).alias("v0"), F.round(F.col("v")[8], 6).alias("v8"), F.round(F.col("v")[16], 6).alias("v16"))
+    out = con.concatenated_context(features, word_vectors(spark, sf), 64, 3)
+    return out.select("row_id", "side", F.size("v").alias("n"), F.round(F.col("v")[0], 6).alias("v0"), F.round(F.col("v")[64], 6).alias("v64"), F.round(F.col("v")[128], 6).alias("v128"))
 
 
 P8 = _context_sql(2) + DICTIONARY + """, blocks AS (
   SELECT row_id, side, pos, CASE WHEN feature = '<s>' THEN 0.0 ELSE coalesce(v[1], 0.0) END AS x FROM feat LEFT JOIN dict ON key = feature
-) SELECT row_id, side, 24 AS n, round(coalesce(max(x) FILTER (pos = 0), 0.0), 6) AS v0, round(coalesce(max(x) FILTER (pos = 1), 0.0), 6) AS v8, round(coalesce(max(x) FILTER (pos = 2), 0.0), 6) AS v16
+) SELECT row_id, side, 192 AS n, round(coalesce(max(x) FILTER (pos = 0), 0.0), 6) AS v0, round(coalesce(max(x) FILTER (pos = 1), 0.0), 6) AS v64, round(coalesce(max(x) FILTER (pos = 2), 0.0), 6) AS v128
 FROM blocks GROUP BY row_id, side"""
 
 
