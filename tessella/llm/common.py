@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import math
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import durable, ensure_checkpoint_dir
+
 #: The ASCII white space that separates words everywhere in this subpackage (bytes.split() uses the same set).
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -24,23 +25,6 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the shared folder of ``spark.checkpoint.dir``; only a local session may fall back to a temp folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not sc.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessella-checkpoint-"))
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder now and cuts its lineage, so lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 @contextlib.contextmanager
 def stored(df: DataFrame, buckets: int, key: str) -> Iterator[DataFrame]:
     """``df`` as a table bucketed by ``key`` in the checkpoint folder, so that groupings by it don't shuffle it again; gone afterwards."""

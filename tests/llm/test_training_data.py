@@ -305,6 +305,8 @@ def test_differencing_is_even_and_whole():
     sums = [sum(sizes[i] for i in s) for s in sets]
     assert max(sums) - min(sums) <= 60
     assert all(sum(sizes[i] for i in s) <= 300 for s in packing.pack(sizes, 300))
+    # three pieces of 600 don't fit two windows of 1,000, so the count rises to three
+    assert sorted(map(sorted, packing.pack([600, 600, 600], 1000))) == [[0], [1], [2]]
 
 
 def test_language_id(spark):
