@@ -229,7 +229,7 @@ M6 = _with(CHANNEL + " SELECT row_id FROM channel WHERE variant = 'lm' GROUP BY
 
 def _parted(spark, sf):
     """Candidates of all rows, and of them those of rows to learn from and to score: a tenth is held out."""
-    cands = cosine_scored(spark, sf).withColumn("label", F.col("tgt").cast("long"))
+    cands = cosine_scored(spark, sf).drop("score").withColumn("label", F.col("tgt").cast("long"))
     held = cnt.held_out(px.vectors(spark, sf).select(F.col("vec_id").alias("row_id")), 0.1)
     return cands.join(held, "row_id", "left_anti"), cands.join(held, "row_id", "left_semi")
 
