@@ -47,7 +47,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not np.array_equal(size, size[at][np.cumsum(new) - 1]):
             raise ValueError("equal digests of texts that differ")
         out = t.take(pa.array(at))
-        return out.set_column(out.schema.get_field_index("n"), "n", pa.array(np.add.reduceat(t["n"].to_numpy(), at), pa.int64()))
+        column = out.schema.get_field_index("n")
+        return out.set_column(column, out.schema.field(column), pa.array(np.add.reduceat(t["n"].to_numpy(), at), pa.int64()))
 
     for b in batches:
         if not b.num_rows:

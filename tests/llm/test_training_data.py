@@ -64,6 +64,25 @@ def test_exact_dedup(spark, sample):
     assert exact_dedup.exact_dedup(docs(spark, EMPTY)).count() == 0 and exact_dedup.keep_first(docs(spark, EMPTY)).count() == 0
 
 
+def test_exact_dedup_of_many_arrow_batches(spark):
+    """Partitions that Python gets in several batches, with groups that go on from one batch to the next."""
+    rows = [(i, f"text {i % 7 if i % 2 else i}", "en", "a") for i in range(60)]
+    first: dict = {}
+    for i, t, *_ in rows:
+        first.setdefault(t, i)
+    size = Counter(t for _, t, *_ in rows)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        out = table(exact_dedup.exact_dedup(docs(spark, rows)).select("doc_id", "keep_id", "group_size", "kept"))
+        kept = exact_dedup.keep_first(docs(spark, rows)).select("doc_id").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(out) == [(i, first[t], size[t], first[t] == i) for i, t, *_ in rows]
+    assert sorted(r.doc_id for r in kept) == sorted(first.values())
+
+
 def test_sharding(spark, sample):
     out = sharding.shard_documents(docs(spark, sample), shards=7)
     rows = table(out.select("doc_id", "size", "text_crc32", "shard", "slot", "grown_shard"))
