@@ -6,17 +6,17 @@ prefixes are dealt out as postings. Pairs of a posting that sizes and positions
 The order comes from a table of hashed counts of fixed size; it decides how long postings get, never what is found.
 
 A posting of near copies would list the square of their number, and near copies meet in many postings. Large postings
-therefore pair each member with its neighbour and with their centre only, the member with the fewest rarer items, and of
-all pairs each text verifies just one at first, that which most postings name. Once these links are connected, only pairs
-that are still in different components go on; after these, those that large postings had left out. Before whole sets are
-compared, sketches of a thousand bits that tell sets' parity in each slot bound from below how far they differ: a bound,
+therefore pair each member with its neighbour and with their centre only, the member with the fewest rarer items, and each
+text verifies just two pairs at first: its nearest candidate of the fingerprint index that the caller gives, and the
+partner that most postings name. Once these links are connected, only pairs that are still in different components go on;
+after these, those that large postings had left out. Before whole sets are compared, sketches of a thousand bits that tell sets' parity in each slot bound from below how far they differ: a bound,
 so no pair is lost. What connects is the same as if every pair had been verified.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,20 +91,21 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def prefix_of(counts: np.ndarray, width: int, similarity: float):
-    """UDF of a text: ``key`` (64 bits of its whole shingle set), ``n`` (its size), ``prefix`` (rare items first), ``sketch``."""
+def prefix_of(counts: np.ndarray, fingerprint: Callable[[np.ndarray], int], width: int, similarity: float):
+    """UDF of a text: ``key`` (64 bits of its whole shingle set), ``fp`` (its fingerprint), ``n`` (its size), ``prefix`` (rare items first), ``sketch``."""
 
-    @F.pandas_udf("key long, n int, prefix binary, sketch array<long>")
+    @F.pandas_udf("key long, fp long, n int, prefix binary, sketch array<long>")
     def udf(text: pd.Series) -> pd.DataFrame:
-        key, n, prefix, sketches = np.zeros(len(text), np.uint64), np.zeros(len(text), np.int32), [], []
+        key, fp, n, prefix, sketches = np.zeros(len(text), np.uint64), np.zeros(len(text), np.uint64), np.zeros(len(text), np.int32), [], []
         for k, t in enumerate(text):
             items = shingles(t, width)
             n[k] = len(items)
             key[k] = xxhash.xxh64_intdigest(items.tobytes()) if len(items) else 0
+            fp[k] = fingerprint(items)
             rare = np.argsort(counts[(items & np.uint64(len(counts) - 1)).astype(np.int64)], kind="stable")
             sketches.append(sketch(items))
             prefix.append(items[rare[: prefix_length(len(items), similarity)]].tobytes() if len(items) else b"")
-        return pd.DataFrame({"key": key.view(np.int64), "n": n, "prefix": prefix, "sketch": sketches})
+        return pd.DataFrame({"key": key.view(np.int64), "fp": fp.view(np.int64), "n": n, "prefix": prefix, "sketch": sketches})
 
     return udf
 
@@ -223,20 +224,40 @@ def rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, rows["key"] == found["node"], "left").withColumn("root", F.coalesce("root", "key")).drop("node")
 
 
-def resembling(docs: DataFrame, tagged: list[Column], text: Column, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def resembling(
+    docs: DataFrame,
+    tagged: list[Column],
+    text: Column,
+    fingerprint: Callable[[np.ndarray], int],
+    candidates: Callable[[DataFrame], DataFrame],
+    width: int = 5,
+    similarity: float = 0.8,
+) -> DataFrame:
     """Every row as ``tagged`` columns (one named tag, that stands for its text at least) and ``root``.
 
+    ``candidates`` names pairs ``(a, b, bits)`` of ``(key, fp)``, ``fp`` being the ``fingerprint`` of a shingle set. Each
+    text's nearest is verified first; the result doesn't hang on how many it names.
+
     Rows have the same root iff a chain of shingle sets, each of Jaccard similarity ``similarity`` or more to the next,
     connects their texts. Texts without words are alike. An empty table gives no rows.
     """
     many = parts(docs.sparkSession)
-    udf = prefix_of(shingle_counts(docs, text, width), width, similarity)
+    udf = prefix_of(shingle_counts(docs, text, width), fingerprint, width, similarity)
     rows = durable(docs.select(*tagged, udf(text).alias("s")).select("*", "s.*").drop("s"))
     entries = rows.select("key", "n", "prefix").mapInArrow(_spread, "g long, key long, n int, pos int")
     found = durable(entries.repartition(many, "g").sortWithinPartitions("g", "key").mapInArrow(pairs_of(similarity, False), FOUND))
     members = found.where("b is null").select("g", F.col("a").alias("key"), "n", "pos")
     pairs = durable(found.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("named")))
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(members.select("key")).distinct()
+
+    # each text's nearest candidate of the index, and the partner that most postings name: two pairs a text at most
+    near = durable(candidates(rows.groupBy("key").agg(F.first("fp").alias("fp")))).select("a", "b", F.lit(None).cast("long").alias("named"), (-F.col("bits")).alias("alike"))
+    both = pairs.withColumn("alike", F.lit(None).cast("int")).unionByName(near)
+    both = both.select(F.col("a").alias("t"), F.col("b").alias("other"), "named", "alike").unionByName(both.select(F.col("b").alias("t"), F.col("a").alias("other"), "named", "alike"))
+    best = both.groupBy("t").agg(*[F.max(F.when(F.col(c).isNotNull(), F.struct(c, "other")))["other"].alias(c) for c in ("named", "alike")])
+    best = best.select("t", F.explode(F.array("named", "alike")).alias("other")).where("other is not null")
+    low = durable(best.select(F.least("t", "other").alias("a"), F.greatest("t", "other").alias("b")).distinct())
+    both = pairs.select("a", "b").unionByName(low)
+    wanted = both.select(F.col("a").alias("key")).unionByName(both.select(F.col("b").alias("key"))).unionByName(members.select("key")).distinct()
     tags = durable(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("tag").alias("k")))
     whole = docs.select(*tagged, text.alias("whole_text")).select("tag", "whole_text").where(may_be_among(tags)("tag")).join(tags, F.col("tag") == F.col("k")).dropDuplicates(["tag"])
 
@@ -260,12 +281,6 @@ def resembling(docs: DataFrame, tagged: list[Column], text: Column, width: int =
         shared = F.size(F.array_intersect("x", "y"))
         return near.join(x, "a").join(y, "b").where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
-    # the partner that most postings name: one pair a text at most
-    both = pairs.select(F.col("a").alias("t"), F.col("b").alias("other"), "named").unionByName(pairs.select(F.col("b").alias("t"), F.col("a").alias("other"), "named"))
-    best = both.groupBy("t").agg(F.max(F.struct("named", "other"))["other"].alias("other"))
-    low = durable(best.select(F.least("t", "other").alias("a"), F.greatest("t", "other").alias("b")).distinct())
-    links = durable(verified(low))
-
     def apart(some: DataFrame) -> DataFrame:
         """Pairs whose texts aren't connected yet."""
         met = some
@@ -273,6 +288,7 @@ def resembling(docs: DataFrame, tagged: list[Column], text: Column, width: int =
             met = met.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
         return met.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
+    links = durable(verified(low))
     roots = components(links)
     more = durable(verified(apart(pairs).join(low, ["a", "b"], "left_anti")))
     if not more.isEmpty():
@@ -285,4 +301,4 @@ def resembling(docs: DataFrame, tagged: list[Column], text: Column, width: int =
         more = durable(verified(listed.join(pairs, ["a", "b"], "left_anti")))
         if not more.isEmpty():
             roots = components(links.unionByName(more))
-    return rooted(rows, roots).drop("key", "n", "prefix", "sketch")
+    return rooted(rows, roots).drop("key", "fp", "n", "prefix", "sketch")
