@@ -25,6 +25,24 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Frames made inside give up their shuffle files when an action on them ends, not when the driver collects its garbage.
+
+    For steps that each end in ``durable``, which doesn't need them again; a frame run twice would shuffle twice.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 @contextlib.contextmanager
 def stored(df: DataFrame, buckets: int, key: str) -> Iterator[DataFrame]:
     """``df`` as a table bucketed by ``key`` in the checkpoint folder, so that groupings by it don't shuffle it again; gone afterwards."""

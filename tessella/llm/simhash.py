@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import components, durable, parts, row_tag
+from .common import components, durable, parts, row_tag, shuffles_freed
 from .resemblance import may_be_among, resembling
 
 BYTES, SHARED, BITS = 8, 6, 2
@@ -305,11 +305,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     doc_id, text = docs[id_col], docs[text_col]
     tag = row_tag(doc_id, text).alias("tag")
-    classes = durable(resembling(docs, [doc_id.alias("doc_id"), F.xxhash64(text).alias("h"), tag], text, fingerprint_of, candidates, width, similarity))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "tag"))
-    shared = durable(classes.groupBy("root").agg(F.count("*").alias("rows"), first.alias("row")).where("rows > 1"))
-    # rows alone in their component stay as they are, the others are looked up
-    doubtful = may_be_among(durable(classes.join(shared, "root", "left_semi").select(F.col("tag").alias("k")).distinct()))
+    with shuffles_freed(docs.sparkSession):
+        classes = durable(resembling(docs, [doc_id.alias("doc_id"), F.xxhash64(text).alias("h"), tag], text, fingerprint_of, candidates, width, similarity))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "tag"))
+        shared = durable(classes.groupBy("root").agg(F.count("*").alias("rows"), first.alias("row")).where("rows > 1"))
+        # rows alone in their component stay as they are, the others are looked up
+        doubtful = may_be_among(durable(classes.join(shared, "root", "left_semi").select(F.col("tag").alias("k")).distinct()))
     stays = classes.join(shared, "root", "left").select(F.coalesce("row.tag", "tag").alias("k")).distinct()
     wide = docs.select(F.struct("*").alias("row"), tag)
     chosen = wide.where(doubtful("tag")).join(stays, F.col("tag") == F.col("k")).dropDuplicates(["tag"])

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import simhash
+from tessella.llm import common, simhash
 
 
 def prose(seed, n=60):
@@ -80,3 +82,42 @@ def test_components_of_large_and_small_groups(spark):
         texts += [own, edited(rng, own, 0.01), edited(rng, own, 0.03)]
     rng.shuffle(texts)
     assert [i for i, _ in kept(spark, list(enumerate(texts)))] == brute(texts)
+
+
+def shuffled(spark):
+    """Names of the shuffle files that are on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (files.apply(i).getName() for i in range(files.size()))
+    return {x for x in names if x.startswith("shuffle_")}
+
+
+def test_shuffles_go_with_the_step_that_needs_them(spark):
+    rng = random.Random(7)
+    hot = prose(13, 120)
+    rows = [(k, edited(rng, hot, 0.01)) for k in range(60)] + [(100 + k, prose(600 + k)) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = shuffled(spark)
+    stays = simhash.keep_one(df)
+    left = shuffled(spark) - before
+    for _ in range(20):  # files go a moment after their step
+        if not left:
+            break
+        time.sleep(0.5)
+        left = shuffled(spark) - before
+    assert not left
+    assert sorted(r.doc_id for r in stays.collect()) == [rows[i][0] for i in brute([t for _, t in rows])]
+
+
+@pytest.mark.parametrize("value", [None, "false", "true"])
+def test_setting_of_freed_shuffles_is_put_back(spark, value):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+        was = spark.conf.get(key, None)
+        with pytest.raises(ZeroDivisionError), common.shuffles_freed(spark):
+            assert spark.conf.get(key) == "true"
+            1 / 0
+        assert spark.conf.get(key, None) == was
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
