@@ -276,3 +276,15 @@ def test_learners_learn(spark):
     pairs = [([float(t) for t in x[i]], [float(t) for t in means[k]], int(label[i] == k)) for i in range(160) for k in range(3)]
     rows = spark.createDataFrame(pairs, "ctx array<double>, pair array<double>, label int").select(models.matching_features(F.col("ctx"), F.col("pair")).alias("v"), "label")
     assert accuracy(models.matching_scores(models.matching_network(rows, 6), ask)) > 0.9
+
+
+def test_glue_lines_are_counted_once_a_length(spark):
+    sentences = spark.createDataFrame([(7, ["a", "b", "c"]), (8, ["d", "e", "f"]), (9, ["g"]), (10, []), (11, ["h"] * 12)], "sent_id long, words array<string>")
+    few = chart.lengths(sentences)
+    assert sorted((r.sent_id, len(r.words)) for r in few.collect()) == [(1, 1), (3, 3), (12, 12)]
+
+    def counted(some, nodes):
+        lines = chart.glue_rules(chart.binary_edges(nodes(some)))
+        return lines.groupBy("sent_id").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"), F.min("line").alias("first"), F.max("line").alias("last"))
+
+    assert rows(chart.of_length(sentences, counted(few, chart.dealt_nodes))) == rows(counted(sentences, chart.nodes))
