@@ -288,3 +288,15 @@ def test_glue_lines_are_counted_once_a_length(spark):
         return lines.groupBy("sent_id").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"), F.min("line").alias("first"), F.max("line").alias("last"))
 
     assert rows(chart.of_length(sentences, counted(few, chart.dealt_nodes))) == rows(counted(sentences, chart.nodes))
+
+
+def test_glue_queries_build_no_line_twice(spark, monkeypatch):
+    from tessella.plans import chart_plans
+
+    sentences = spark.createDataFrame([(k, ["w"] * (3 + k % 2)) for k in range(40)], "sent_id long, words array<string>")
+    monkeypatch.setattr(chart_plans, "_sentences", lambda spark, sf: sentences)
+    built, edges = [], chart.binary_edges
+    monkeypatch.setattr(chart, "binary_edges", lambda spans: built.append(edges(spans)) or built[-1])
+    glue, triples = chart_plans.g8_glue_rules(spark, ""), chart_plans.g4_binary_edges(spark, "")
+    assert [b.count() for b in built] == [4 + 10] * 2  # of three words and of four
+    assert sorted(r.n for r in triples.collect()) == [4] * 20 + [10] * 20 and sorted(r.n for r in glue.collect()) == [8] * 20 + [20] * 20
