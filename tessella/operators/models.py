@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import sum_vectors, unit
+from ..functions.vectors import once, sum_vectors, unit
 from ..session import durable
 from . import linalg, scoring
 
@@ -107,8 +107,8 @@ def matching_scores(model, candidates: DataFrame) -> DataFrame:
 
 def matching_features(context: Column, pair: Column) -> Column:
     """Unit context, unit pair, and their products, in which a network of one layer sees their angle."""
-    a, b = unit(context), unit(pair)
-    return F.concat(a, b, F.zip_with(a, b, lambda x, y: x * y))
+    both = F.struct(unit(context).alias("a"), unit(pair).alias("b"))
+    return once(both, lambda u: F.concat(u["a"], u["b"], F.zip_with(u["a"], u["b"], lambda x, y: x * y)))
 
 
 def regression_scores(betas: DataFrame, candidates: DataFrame) -> DataFrame:

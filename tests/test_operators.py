@@ -300,3 +300,11 @@ def test_glue_queries_build_no_line_twice(spark, monkeypatch):
     glue, triples = chart_plans.g8_glue_rules(spark, ""), chart_plans.g4_binary_edges(spark, "")
     assert [b.count() for b in built] == [4 + 10] * 2  # of three words and of four
     assert sorted(r.n for r in triples.collect()) == [4] * 20 + [10] * 20 and sorted(r.n for r in glue.collect()) == [8] * 20 + [20] * 20
+
+
+def test_a_norm_is_computed_once_a_row(spark):
+    from tessella.functions.vectors import unit
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([],)], "a array<double>").select(unit(F.col("a")).alias("u"))
+    assert [r.u for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
+    assert df._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1

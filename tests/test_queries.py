@@ -67,3 +67,15 @@ def test_contexts_correlate(spark):
     rows = registry.queries()["m1_context_cca"](spark, SF).collect()
     found = [r.correlation for r in sorted(rows)]
     assert len(found) == 5 and found == sorted(found, reverse=True) and 0.3 < found[0] <= 1 + 1e-6
+
+
+def test_held_out_report_asks_the_network_about_held_out_rows_only(spark, monkeypatch):
+    from tessella.plans import numeric_plans
+
+    scored = spark.createDataFrame([(True, 0.9), (True, 0.1), (False, 0.2), (False, None)], "is_gold boolean, score double")
+    monkeypatch.setattr(numeric_plans, "_matched", lambda spark, sf: scored)
+    out = numeric_plans.m7_matching_network(spark, "")
+    assert sorted(map(tuple, out.collect())) == [(0, 1, 1.0), (1, 2, 0.5)]
+    assert "isnotnull(score" not in out._jdf.queryExecution().optimizedPlan().toString()  # a filter would go below the joins
+    monkeypatch.setattr(numeric_plans, "_matched", lambda spark, sf: scored.where("score is null"))
+    assert numeric_plans.m7_matching_network(spark, "").count() == 0
