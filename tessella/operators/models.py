@@ -162,17 +162,20 @@ def _vectorised(rows: DataFrame) -> DataFrame:
     return rows.withColumn("features", array_to_vector("v"))
 
 
-def matching_network(rows: DataFrame, rank: int, seed: int = 42, steps: int = 40):
-    """A one-layer network for ``rows(v, label)`` with labels 0 and 1; ``v`` is context and pair side by side."""
-    return mlp_classifier(rows, rank, seed, steps)
+def matching_network(rows: DataFrame, rank: int, seed: int = 42, steps: int = 40, size: int | None = None):
+    """A one-layer network for ``rows(v, label)`` with labels 0 and 1; ``v`` is context and pair side by side, of ``size`` values."""
+    return mlp_classifier(rows, rank, seed, steps, None if size is None else (size, 2))
 
 
-def mlp_classifier(rows: DataFrame, hidden: int, seed: int = 42, steps: int = 60):
-    """Multilayer perceptron on ``rows(v, label)``, labels 0 to k - 1."""
+def mlp_classifier(rows: DataFrame, hidden: int, seed: int = 42, steps: int = 60, sizes: tuple[int, int] | None = None):
+    """Multilayer perceptron on ``rows(v, label)``, labels 0 to k - 1. Where the caller knows ``sizes``, of ``v`` and k, the
+    rows are computed for the fit only."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
 
-    found = rows.agg(F.max(F.size("v")), F.max("label")).first()
-    layers = [int(found[0]), hidden, int(found[1]) + 1]
+    if sizes is None:
+        found = rows.agg(F.max(F.size("v")), F.max("label")).first()
+        sizes = int(found[0]), int(found[1]) + 1
+    layers = [sizes[0], hidden, sizes[1]]
     fit = MultilayerPerceptronClassifier(layers=layers, seed=seed, maxIter=steps, featuresCol="features", labelCol="label")
     return fit.fit(_vectorised(rows).withColumn("label", F.col("label").cast("double")))
 

@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pytest
 from oracle import difference
+from pyspark.sql import functions as F
 
 from tessella.plans import registry
 
@@ -79,3 +80,18 @@ def test_held_out_report_asks_the_network_about_held_out_rows_only(spark, monkey
     assert "isnotnull(score" not in out._jdf.queryExecution().optimizedPlan().toString()  # a filter would go below the joins
     monkeypatch.setattr(numeric_plans, "_matched", lambda spark, sf: scored.where("score is null"))
     assert numeric_plans.m7_matching_network(spark, "").count() == 0
+
+
+def test_matching_network_gets_its_size_and_all_pairs(spark, monkeypatch):
+    from tessella.plans import numeric_plans
+
+    seen = {}
+    monkeypatch.setattr(numeric_plans.mo, "matching_network", lambda rows, rank, **known: seen.update(rows=rows, **known))
+    monkeypatch.setattr(numeric_plans.mo, "matching_scores", lambda model, score: score)
+    numeric_plans._matched(spark, SF)
+    learn, _ = numeric_plans._parted(spark, SF)
+    known = learn.where("v is not null").select("row_id", "tgt", "is_gold", numeric_plans.mo.matching_features(F.col("ctx"), F.col("v")).alias("v"))
+    pairs = numeric_plans.mo.matching_set(known).join(known.drop("is_gold"), ["row_id", "tgt"])
+    shown = lambda rows: sorted((r.label, *(round(x, 9) for x in r.v[::24])) for r in rows.collect())
+    want = shown(pairs.select("v", ((F.col("label") + 1) / 2).cast("int").alias("label")))
+    assert seen["size"] == 192 and len(want) > 0 and shown(seen["rows"]) == want
