@@ -152,7 +152,8 @@ SELECT vec_id, i::INT AS i, CASE WHEN x > 0 THEN x > p ELSE x < n END::INT AS bu
 
 
 def c19_order(spark, sf):
-    rows = _channel(spark, sf).where("variant = 'lm_f_e'").select("row_id", "tgt", "score")
+    """Scores equal up to rounding (log10 of a tenth and of one, with costs one apart) are ties."""
+    rows = _channel(spark, sf).where("variant = 'lm_f_e'").select("row_id", "tgt", F.round("score", 12).alias("score"))
     return rows.withColumn("place", F.row_number().over(sc.ordered(["row_id"]))).select("row_id", "tgt", "place")
 
 

@@ -95,3 +95,12 @@ def test_matching_network_gets_its_size_and_all_pairs(spark, monkeypatch):
     shown = lambda rows: sorted((r.label, *(round(x, 9) for x in r.v[::24])) for r in rows.collect())
     want = shown(pairs.select("v", ((F.col("label") + 1) / 2).cast("int").alias("label")))
     assert seen["size"] == 192 and len(want) > 0 and shown(seen["rows"]) == want
+
+
+def test_order_takes_equal_scores_up_to_rounding_as_ties(spark, monkeypatch):
+    from tessella.plans import score_plans
+
+    data = [(1, "a", "lm_f_e", -1.0000000000000002), (1, "b", "lm_f_e", -1.0), (1, "c", "lm_f_e", -0.5), (1, "c", "lm", 0.0)]
+    scores = spark.createDataFrame(data, "row_id long, tgt string, variant string, score double")
+    monkeypatch.setattr(score_plans, "_channel", lambda spark, sf: scores)
+    assert sorted((r.place, r.tgt) for r in score_plans.c19_order(spark, "").collect()) == [(1, "c"), (2, "a"), (3, "b")]
