@@ -308,3 +308,33 @@ def test_a_norm_is_computed_once_a_row(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([],)], "a array<double>").select(unit(F.col("a")).alias("u"))
     assert [r.u for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
     assert df._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+
+
+def test_entries_are_summed_by_blocks(spark):
+    from tessella.operators.lookup import summed_entries
+
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(30)]
+    data = [(int(k) << 16 | int(o), "LR"[k % 2], words[int(w)], float(x)) for k, o, w, x in zip(rng.integers(0, 40, 400), rng.integers(0, 3, 400), rng.integers(0, 30, 400), rng.normal(size=400), strict=True)]
+    vectors = {w: [float(t) for t in rng.normal(size=3)] for w in words[:20]}
+    entries = spark.createDataFrame(data, "row_id long, side string, id string, val double")
+    table = spark.createDataFrame([*vectors.items(), ("w0", [1.0, 1.0, 1.0]), ("w25", None)], "id string, v array<double>")
+    vectors["w0"] = [x + 1 for x in vectors["w0"]]
+    want = {(k, s): np.zeros(3) for k, s, _, _ in data}
+    for k, s, w, x in data:
+        want[k, s] += x * np.array(vectors.get(w, [0.0] * 3))
+    for block in (7, 1 << 17):
+        got = {(r.row_id, r.side): r.v for r in summed_entries(entries, "row_id", table, 3, ("side",), zeros=True, block=block).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    known = {k for k, _, w, _ in data if w in vectors}
+    assert {r.row_id for r in summed_entries(entries.drop("side"), "row_id", table, 3, block=50).collect()} == known
+    assert summed_entries(entries.limit(0), "row_id", table, 3).count() == 0 and summed_entries(entries.drop("side"), "row_id", table.limit(0), 3).count() == 0
+
+
+def test_context_sums_ship_a_vector_once_a_block(spark):
+    features = spark.createDataFrame([(k, "L", p, "w") for k in range(500) for p in range(2)], "row_id long, side string, pos int, feature string")
+    vectors = spark.createDataFrame([("w", [1.0, 2.0])], "key string, v array<double>")
+    out = context.additive_context(features, vectors, 2)
+    assert {tuple(r.v) for r in out.collect()} == {(2.0, 4.0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Generate" not in plan  # vectors aren't taken apart
