@@ -104,3 +104,9 @@ def test_order_takes_equal_scores_up_to_rounding_as_ties(spark, monkeypatch):
     scores = spark.createDataFrame(data, "row_id long, tgt string, variant string, score double")
     monkeypatch.setattr(score_plans, "_channel", lambda spark, sf: scores)
     assert sorted((r.place, r.tgt) for r in score_plans.c19_order(spark, "").collect()) == [(1, "c"), (2, "a"), (3, "b")]
+
+
+def test_projection_ships_a_vector_once_a_block(spark):
+    out = registry.queries()["l9_projection"](spark, SF)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "posexplode" not in plan  # vectors aren't taken apart
