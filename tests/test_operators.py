@@ -338,3 +338,12 @@ def test_context_sums_ship_a_vector_once_a_block(spark):
     assert {tuple(r.v) for r in out.collect()} == {(2.0, 4.0)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "Generate" not in plan  # vectors aren't taken apart
+
+
+def test_passes_add_columns_instead_of_exploded_vectors(spark):
+    cells = spark.createDataFrame([(1, 0, 2.0), (1, 1, 3.0), (2, 1, -1.0)], "row_id long, id long, val double")
+    basis = spark.createDataFrame([(0, [1.0, 10.0]), (1, [0.5, 0.0])], "id long, v array<double>")
+    product = cells.select(F.col("row_id").alias("i"), F.col("id").alias("j"), "val")
+    for out in (linalg.projected(cells, basis, 2), linalg._times(product, basis, 2)):
+        assert {tuple(r) for r in out.select(F.col(out.columns[0]), F.col("v")[0], F.col("v")[1]).collect()} == {(1, 3.5, 20.0), (2, -0.5, 0.0)}
+        assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
